@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +19,13 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lorekeep.llm.line_dedup import dedup_lines
+
+    d = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return d.select("doc_id", "line_report.*", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lorekeep.llm.mixing import mixed
 
@@ -54,6 +62,10 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def llm_oracle_sql() -> dict[str, str]:
+    from lorekeep.llm.line_dedup import lines_sql
     from lorekeep.llm.mixing import mix_sql
 
-    return {"op5_source_mixing": mix_sql()}
+    return {
+        "op4_line_dedup": f"WITH {lines_sql()} SELECT doc_id, n_lines, n_removed, n_runs, sha256(text) AS kept_sha256 FROM lines_out",
+        "op5_source_mixing": mix_sql(),
+    }
