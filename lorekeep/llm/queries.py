@@ -44,6 +44,12 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lorekeep.llm.jaccard_join import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "copies", "n_links")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lorekeep.llm.toxicity import toxicity
 
@@ -62,10 +68,12 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def llm_oracle_sql() -> dict[str, str]:
+    from lorekeep.llm.jaccard_join import pairs_sql
     from lorekeep.llm.line_dedup import lines_sql
     from lorekeep.llm.mixing import mix_sql
 
     return {
         "op4_line_dedup": f"WITH {lines_sql()} SELECT doc_id, n_lines, n_removed, n_runs, sha256(text) AS kept_sha256 FROM lines_out",
         "op5_source_mixing": mix_sql(),
+        "op8_ngram_jaccard_join": pairs_sql(),
     }
