@@ -159,3 +159,16 @@ def map_texts(df: DataFrame, fn, schema: str, id_col: str = "doc_id", text_col:
                 yield fn(b.column(0), byte_texts(b.column(1)), b)
 
     return df.select(*cols).mapInArrow(run, schema)
+
+
+def filter_texts(df: DataFrame, keep, text_col: str = "text") -> DataFrame:
+    """The rows of df, all columns, whose whole text keep(list[bytes]) -> list[bool] holds for; a null text is empty. Narrow."""
+    workers_import(df.sparkSession)
+    at = df.columns.index(text_col)
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                yield b.filter(pa.array(keep(byte_texts(b.column(at))), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import map_texts, pieces, runs_of
+from lorekeep.llm.common import filter_texts, map_texts, pieces, runs_of
 
 WINDOW = 13
 #: Bytes of benchmark text in one block. Each block is broadcast by itself; a larger benchmark takes more blocks.
@@ -132,6 +132,36 @@ def blocks_of(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "
     return blocks
 
 
+def judged(texts: list[bytes], blocks: list[Block]) -> tuple[list[int], list[int], list[list], list[set]]:
+    """(words, hit words, hit runs, items with occurring windows) of each text."""
+    n_words, hits, spans, names = [0] * len(texts), [0] * len(texts), [[] for _ in texts], [set() for _ in texts]
+    for lo, hi in pieces(texts):
+        words = [words_of(t) for t in texts[lo:hi]]
+        sizes = [len(w) for w in words]
+        n_words[lo:hi] = sizes
+        # a zero between documents keeps matches inside them
+        begin = np.cumsum([0] + [n + 1 for n in sizes])
+        doc_of = np.repeat(np.arange(lo, hi), np.array(sizes) + 1)
+        found = []
+        for block in blocks:
+            get = block.numbers.get
+            numbers = np.fromiter(chain.from_iterable((*[get(x, 0) for x in w], 0) for w in words), dtype=np.int32, count=begin[-1])
+            s, e, d, window_no = longest_matches(numbers, doc_of, block)
+            for doc, number in set(zip(d.tolist(), window_no.tolist(), strict=True)):
+                names[doc].update(block.items[number])
+            found.append((s, e))
+        if found:
+            s, e = runs_of(np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found]))
+            for a, b, doc in zip(s.tolist(), e.tolist(), doc_of[s].tolist() if len(s) else [], strict=True):
+                hits[doc] += b - a
+                spans[doc].append([a - int(begin[doc - lo]), b - a])
+    return n_words, hits, spans, names
+
+
+def is_contaminated(hit: int, words: int) -> bool:
+    return hit > 0 and SHARE_DIVISOR * hit >= words
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and spans, for every document.
 
@@ -148,32 +178,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     shared = [spark.sparkContext.broadcast(b) for b in blocks_of(benchmark, item_col, item_text_col, window, block_bytes)]
 
     def run(ids, texts, batch):
-        n_words, hits, spans, names = [0] * len(texts), [0] * len(texts), [[] for _ in texts], [set() for _ in texts]
-        for lo, hi in pieces(texts):
-            words = [words_of(t) for t in texts[lo:hi]]
-            sizes = [len(w) for w in words]
-            n_words[lo:hi] = sizes
-            # a zero between documents keeps matches inside them
-            begin = np.cumsum([0] + [n + 1 for n in sizes])
-            doc_of = np.repeat(np.arange(lo, hi), np.array(sizes) + 1)
-            found = []
-            for block in (b.value for b in shared):
-                get = block.numbers.get
-                numbers = np.fromiter(chain.from_iterable((*[get(x, 0) for x in w], 0) for w in words), dtype=np.int32, count=begin[-1])
-                s, e, d, window_no = longest_matches(numbers, doc_of, block)
-                for doc, number in set(zip(d.tolist(), window_no.tolist())):
-                    names[doc].update(block.items[number])
-                found.append((s, e))
-            if found:
-                s, e = runs_of(np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found]))
-                for a, b, doc in zip(s.tolist(), e.tolist(), doc_of[s].tolist() if len(s) else []):
-                    hits[doc] += b - a
-                    spans[doc].append([a - int(begin[doc - lo]), b - a])
+        n_words, hits, spans, names = judged(texts, [b.value for b in shared])
         digest = [hashlib.sha256(",".join(sorted(map(str, x))).encode()).hexdigest() for x in names]
         return pa.record_batch(
-            [ids, pa.array(n_words, pa.int64()), pa.array(hits, pa.int64()), pa.array([len(x) for x in names], pa.int64()), pa.array(digest), pa.array([h > 0 and SHARE_DIVISOR * h >= n for h, n in zip(hits, n_words)]), pa.array(spans, pa.list_(pa.list_(pa.int64())))],
+            [ids, pa.array(n_words, pa.int64()), pa.array(hits, pa.int64()), pa.array([len(x) for x in names], pa.int64()), pa.array(digest), pa.array(list(map(is_contaminated, hits, n_words)), pa.bool_()), pa.array(spans, pa.list_(pa.list_(pa.int64())))],
             names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"],
         )
 
     kind = dict(docs.dtypes)[id_col]
     return map_texts(docs, run, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<array<long>>", id_col, text_col)
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """docs without those that contamination() calls contaminated. Narrow; the same rules for odd rows."""
+    shared = [docs.sparkSession.sparkContext.broadcast(b) for b in blocks_of(benchmark, item_col, item_text_col, window, block_bytes)]
+
+    def keep(texts):
+        n_words, hits, _, _ = judged(texts, [b.value for b in shared])
+        return [not is_contaminated(h, n) for h, n in zip(hits, n_words, strict=True)]
+
+    return filter_texts(docs, keep, text_col)

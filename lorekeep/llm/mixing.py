@@ -47,7 +47,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return t.select("source", "source_size", "weight", F.when(F.col("source_size") == 0, F.lit(0.0)).otherwise(target).alias("target"))
 
 
-def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_EPOCHS, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_EPOCHS, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep_hash: bool = False) -> DataFrame:
     """One row a document: doc_id, source, size, source_size, target, taken (words the mix takes).
 
     Size: words between ASCII white space (null text: 0). A source gives floor(target / size) whole epochs
@@ -57,7 +57,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SH
     are ordered by size, and rows equal in both are interchangeable. Empty texts take nothing. Empty table:
     no rows. Other columns are not read. Only DataFrame operations; reruns agree.
     """
-    d = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), F.regexp_count(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), F.lit(WORD)).cast("long").alias("size"))
+    d = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), F.regexp_count(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), F.lit(WORD)).cast("long").alias("size"), *([F.xxhash64(F.col(f"`{text_col}`")).alias("text_hash")] if keep_hash else []))
     d = d.withColumn("key", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))).withColumn("range", F.substring("key", 1, RANGE_DIGITS))
     d = checkpointed(d)  # a few numbers a row; the texts are read once
     in_range = Window.partitionBy("source", "range").orderBy("key", F.col("doc_id"), "size").rowsBetween(Window.unboundedPreceding, -1)
@@ -72,7 +72,20 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SH
     epochs = F.when(F.col("source_size") > 0, F.expr("floor(target) div source_size")).otherwise(F.lit(0)).cast("long")
     rest = words - epochs * F.col("source_size")
     cut = F.least(F.col("size"), F.greatest(F.lit(0), rest - F.col("range_start") - F.col("in_range")))
-    return d.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * epochs + cut).cast("long").alias("taken"))
+    return d.select("doc_id", *(["text_hash"] if keep_hash else []), "source", "size", "source_size", "target", (F.col("size") * epochs + cut).cast("long").alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The documents of the mix (taken > 0): all columns of docs, and a struct `mix` (size, source_size, target, taken)."""
+    names = [id_col, "__hash", source_col]
+    own = docs.withColumn("__hash", F.xxhash64(F.col(f"`{text_col}`")))
+    nth = F.row_number().over(Window.partitionBy(*[F.col(f"`{c}`") for c in names]).orderBy(F.lit(0)))
+    own = own.withColumn("__nth", nth)
+    m = mixed(docs, id_col=id_col, text_col=text_col, source_col=source_col, keep_hash=True, **options)
+    m = m.withColumn("__nth", F.row_number().over(Window.partitionBy("doc_id", "text_hash", "source").orderBy(F.desc("taken")))).where("taken > 0")
+    m = m.select(F.col("doc_id").alias("__m_id"), F.col("text_hash").alias("__m_hash"), F.col("source").alias("__m_source"), F.col("__nth").alias("__m_nth"), F.struct("size", "source_size", "target", "taken").alias("mix"))
+    match = F.col(f"`{id_col}`").eqNullSafe(F.col("__m_id")) & (F.col("__hash") == F.col("__m_hash")) & F.col(f"`{source_col}`").eqNullSafe(F.col("__m_source")) & (F.col("__nth") == F.col("__m_nth"))
+    return own.join(m, match).select(*[F.col(f"`{c}`") for c in docs.columns], "mix")
 
 
 #: DuckDB SQL for the rows of mixed() over {docs}, a relation with doc_id, text and source.

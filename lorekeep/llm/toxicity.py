@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import fold, map_texts, pieces
+from lorekeep.llm.common import filter_texts, fold, map_texts, pieces
 
 #: Labelled rows of each class that the fit uses at most, those of the lowest id hash. The only bounded step.
 SAMPLE_ROWS = 6000
@@ -177,6 +177,28 @@ def fitted(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample_
     return FactorizationMachine.fit([np.frombuffer(got["terms"][i], np.int32).astype(np.int64) for i in order], y)
 
 
+def scorer(docs: DataFrame, machine: FactorizationMachine):
+    """texts -> scores, to run in tasks; the machine (at most KEPT_TERMS terms) is broadcast."""
+    shared = docs.sparkSession.sparkContext.broadcast(machine)
+    caches: dict[int, Terms] = {}
+
+    def score_of(texts: list[bytes]) -> np.ndarray:
+        m = shared.value
+        terms = caches.get(0) or caches.setdefault(0, Terms(m.terms))
+        score = np.zeros(len(texts))
+        for lo, hi in pieces(texts):
+            score[lo:hi] = m.score([np.fromiter(sorted(terms.of(t)), np.int64) for t in texts[lo:hi]])
+        return score
+
+    return score_of
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without those that toxicity() predicts toxic."""
+    score_of = scorer(docs, fitted(docs, labels, label_col, sample_rows, id_col, text_col))
+    return filter_texts(docs, lambda texts: (score_of(texts) < 0.5).tolist(), text_col)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score (0 to 1) and predicted (score >= 0.5) for every whole text.
 
@@ -184,16 +206,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sampl
     that of the class share (0.5 with no labels). Rows that repeat each get their row. Only the text is
     an input of the score; other columns are not read. Scoring is narrow.
     """
-    machine = fitted(docs, labels, label_col, sample_rows, id_col, text_col)
-    shared = docs.sparkSession.sparkContext.broadcast(machine)
-    caches: dict[int, Terms] = {}
+    score_of = scorer(docs, fitted(docs, labels, label_col, sample_rows, id_col, text_col))
 
     def run(ids, texts, batch):
-        m = shared.value
-        terms = caches.get(0) or caches.setdefault(0, Terms(m.terms))
-        score = np.zeros(len(texts))
-        for lo, hi in pieces(texts):
-            score[lo:hi] = m.score([np.fromiter(sorted(terms.of(t)), np.int64) for t in texts[lo:hi]])
+        score = score_of(texts)
         return pa.record_batch([ids, batch.column(2), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     kind = dict(docs.dtypes)[id_col]
