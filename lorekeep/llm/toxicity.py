@@ -25,7 +25,7 @@ FACTORS = 4
 #: Hashed terms that the fit keeps, by how far they tell the classes apart in the sample.
 KEPT_TERMS = 3000
 LEAST_ROWS = 3
-EPOCHS = 40
+EPOCHS = 80
 FOLDS, HELD_OUT = 5, 0
 #: Letters of the word beginnings that are terms beside the words.
 BEGINNINGS = (5, 7)
