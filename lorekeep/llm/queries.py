@@ -19,6 +19,12 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lorekeep.llm.suffix_dedup import without_repeats
+
+    return without_repeats(table(spark, sf_dir, "documents")).drop("kept", "spans")
+
+
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lorekeep.llm.ngram_lm import scores
 
