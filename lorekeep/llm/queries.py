@@ -19,6 +19,12 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lorekeep.llm.chat import canonical_turns
+
+    return canonical_turns(table(spark, sf_dir, "conversations"))
+
+
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lorekeep.llm.suffix_dedup import without_repeats
 
