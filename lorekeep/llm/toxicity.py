@@ -60,9 +60,10 @@ class Terms:
         if len(seen) > 300_000:
             seen.clear()
         words = set(WORDS.findall(lower(text)))
-        for w in words - seen.keys():
-            t = word_terms(w)
-            seen[w] = t if self.wanted is None else tuple(x for x in t if x in self.wanted)
+        for w in words:
+            if w not in seen:
+                t = word_terms(w)
+                seen[w] = t if self.wanted is None else tuple(x for x in t if x in self.wanted)
         return set(chain.from_iterable(map(seen.__getitem__, words)))
 
 
