@@ -75,17 +75,17 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SH
     return d.select("doc_id", *(["text_hash"] if keep_hash else []), "source", "size", "source_size", "target", (F.col("size") * epochs + cut).cast("long").alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The documents of the mix (taken > 0): all columns of docs, and a struct `mix` (size, source_size, target, taken)."""
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", mix_col: str = "mix", **options) -> DataFrame:
+    """The documents of the mix (taken > 0): all columns of docs, and a struct `mix_col` (size, source_size, target, taken)."""
     names = [id_col, "__hash", source_col]
     own = docs.withColumn("__hash", F.xxhash64(F.col(f"`{text_col}`")))
     nth = F.row_number().over(Window.partitionBy(*[F.col(f"`{c}`") for c in names]).orderBy(F.lit(0)))
     own = own.withColumn("__nth", nth)
     m = mixed(docs, id_col=id_col, text_col=text_col, source_col=source_col, keep_hash=True, **options)
     m = m.withColumn("__nth", F.row_number().over(Window.partitionBy("doc_id", "text_hash", "source").orderBy(F.desc("taken")))).where("taken > 0")
-    m = m.select(F.col("doc_id").alias("__m_id"), F.col("text_hash").alias("__m_hash"), F.col("source").alias("__m_source"), F.col("__nth").alias("__m_nth"), F.struct("size", "source_size", "target", "taken").alias("mix"))
+    m = m.select(F.col("doc_id").alias("__m_id"), F.col("text_hash").alias("__m_hash"), F.col("source").alias("__m_source"), F.col("__nth").alias("__m_nth"), F.struct("size", "source_size", "target", "taken").alias("__m_mix"))
     match = F.col(f"`{id_col}`").eqNullSafe(F.col("__m_id")) & (F.col("__hash") == F.col("__m_hash")) & F.col(f"`{source_col}`").eqNullSafe(F.col("__m_source")) & (F.col("__nth") == F.col("__m_nth"))
-    return own.join(m, match).select(*[F.col(f"`{c}`") for c in docs.columns], "mix")
+    return own.join(m, match).select(*[F.col(f"`{c}`") for c in docs.columns], F.col("__m_mix").alias(mix_col))
 
 
 #: DuckDB SQL for the rows of mixed() over {docs}, a relation with doc_id, text and source.
