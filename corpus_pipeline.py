@@ -25,8 +25,10 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without later repeats of runs of lines; a document goes if all its lines are such repeats. n_chars follows the text."""
     d = dedup_lines(docs, report_col="__report").where("__report.n_removed < __report.n_lines")
-    n_chars = F.when(F.col("__report.n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return d.withColumn("n_chars", n_chars).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        n_chars = F.when(F.col("__report.n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        d = d.withColumn("n_chars", n_chars)
+    return d.drop("__report")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,9 +42,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mix, with their source's size and target and the words taken of each."""
-    d = mixed_documents(docs)
-    return d.select(*docs.columns, "mix.*")
+    """The documents of the mix, with their size, their source's size and target, and the words taken of each.
+
+    A column of docs by the name of one of these gives way to it.
+    """
+    d = mixed_documents(docs, mix_col="__mix")
+    mix = d.schema["__mix"].dataType.fieldNames()
+    return d.select(*[f"`{c}`" for c in docs.columns if c.lower() not in mix], "__mix.*")
 
 
 STAGES = [
