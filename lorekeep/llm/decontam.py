@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 from lorekeep.llm.common import filter_texts, map_texts, pieces, runs_of
 
 WINDOW = 13
-#: Bytes of benchmark text in one block. Each block is broadcast by itself; a larger benchmark takes more blocks.
-BLOCK_BYTES = 16 << 20
+#: Bytes of benchmark text in one block (some 30 times that in a worker). Each block is broadcast by itself; a
+#: larger benchmark takes more blocks.
+BLOCK_BYTES = 2 << 20
 #: A contaminated document has at least this share of its words hit.
 SHARE_DIVISOR = 20
 
@@ -198,3 +199,27 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
         return [not is_contaminated(h, n) for h, n in zip(hits, n_words, strict=True)]
 
     return filter_texts(docs, keep, text_col)
+
+
+def contamination_sql(docs: str = "documents", benchmark: str = "benchmark", window: int = WINDOW) -> str:
+    """DuckDB SQL for contamination() without spans, over relations with distinct doc_id and no null item_id, by joining all windows."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    words = f"regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    return f"""
+WITH d AS (SELECT doc_id, {words} AS w FROM {docs}),
+items AS (SELECT item_id, w, least({window}, len(w)) AS n FROM (SELECT item_id, {words} AS w FROM {benchmark})),
+wanted AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS g
+  FROM (SELECT item_id, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM items WHERE n > 0)),
+windows AS (
+  SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS g
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM wanted))),
+met AS (SELECT doc_id, i, n, item_id FROM windows JOIN wanted USING (g, n)),
+hit AS (SELECT doc_id, count(DISTINCT i + k) AS n_hit FROM met, range({window}) AS r(k) WHERE k < n GROUP BY doc_id),
+named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS name FROM met) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND {SHARE_DIVISOR} * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
+"""

@@ -86,6 +86,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def llm_oracle_sql() -> dict[str, str]:
+    from lorekeep.llm.decontam import contamination_sql
     from lorekeep.llm.jaccard_join import pairs_sql
     from lorekeep.llm.line_dedup import lines_sql
     from lorekeep.llm.mixing import mix_sql
@@ -93,5 +94,6 @@ def llm_oracle_sql() -> dict[str, str]:
     return {
         "op4_line_dedup": f"WITH {lines_sql()} SELECT doc_id, n_lines, n_removed, n_runs, sha256(text) AS kept_sha256 FROM lines_out",
         "op5_source_mixing": mix_sql(),
+        "op6_benchmark_decontamination": contamination_sql(),
         "op8_ngram_jaccard_join": pairs_sql(),
     }

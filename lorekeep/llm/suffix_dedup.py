@@ -32,8 +32,9 @@ from lorekeep.llm.ngram_lm import Gathered, Vocabulary, by_shard
 LENGTH, CORE = 200, 64
 #: Suffixes that a bucket is meant to hold.
 BUCKET_SUFFIXES = 40_000
-#: Suffixes of the sample that splitters are taken from, for each bucket.
-SAMPLE_PER_BUCKET = 60
+#: Suffixes of the sample that splitters are taken from, for each bucket, and of the whole sample at most
+#: (each some 250 bytes on the driver). Splitters only deal suffixes out; a coarser sample changes no result.
+SAMPLE_PER_BUCKET, SAMPLE_MOST = 60, 1_000_000
 #: Below this many suffixes a part is left to the library's sort.
 SMALL = 48
 
@@ -222,7 +223,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, core: int = CORE, buck
                     yield rows
 
     def sampled(batches):
-        every = max(1, cores_total // (buckets * SAMPLE_PER_BUCKET))
+        every = max(1, cores_total // min(buckets * SAMPLE_PER_BUCKET, SAMPLE_MOST))
         for rows in suffixes(batches, every):
             yield pa.record_batch([pa.array([r[0] for r in rows], pa.binary())], names=["key"])
 
