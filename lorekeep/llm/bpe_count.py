@@ -20,8 +20,20 @@ from lorekeep.llm.common import map_texts
 #: Words kept with their counts in a worker; beyond it the table starts anew.
 CACHE_WORDS = 700_000
 
+# fixed values: ranges of letters and numbers that are newer than the library's Unicode tables (16), and so symbols to it
+NEWER = [
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CE, 0xA7CF),
+    (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D), (0x107BB, 0x107BF), (0x10940, 0x10959), (0x10EC5, 0x10EC7),
+    (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB), (0x11DE0, 0x11DE9), (0x11DF1, 0x11DF1), (0x1246F, 0x1246F), (0x12475, 0x1247F),
+    (0x12550, 0x12686), (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF6), (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18D20),
+    (0x18D80, 0x18DF2), (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168), (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24),
+    (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED),
+    (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
+]
+_NEWER = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in NEWER)
+
 # fixed values of the vocabulary's pre-tokenizer
-WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
+WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[^\P{{L}}{_NEWER}]+|[^\P{{N}}{_NEWER}]|(?:[^\p{{White_Space}}\p{{L}}\p{{N}}]|[{_NEWER}])+")
 SPACE = regex.compile(r"\p{White_Space}+")
 #: Python's split() takes these for white space, the vocabulary's rule does not.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
@@ -77,7 +89,8 @@ class PairMerger:
                 top = heappop(heap)
                 i = top & 0xFFFFFFFF
                 r = top >> 32
-                if pair[i] != r:
+                # the library too takes an old entry whose place now makes the same symbol from another pair
+                if pair[i] < 0 or (pair[i] ^ r) & 0xFFFFF:
                     continue
                 j = right[i]
                 sym[i] = a = r & 0xFFFFF
