@@ -58,7 +58,14 @@ def put_bytes(uri: str, data: bytes | memoryview) -> None:
     part = f"{path}.{uuid.uuid4().hex}.part"
     with system.open_output_stream(part) as out:
         out.write(data)
-    system.move(part, path)
+    try:
+        system.move(part, path)
+    except OSError:  # some file systems don't rename over a file; the first attempt's is as whole
+        from pyarrow import fs
+
+        if system.get_file_info(path).type != fs.FileType.File:
+            raise
+        system.delete_file(part)
 
 
 def map_file(uri: str) -> memoryview:
