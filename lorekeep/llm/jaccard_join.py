@@ -93,13 +93,22 @@ def signatures(sets: list[np.ndarray], values: int) -> np.ndarray:
 
 
 def run_links(nodes: list[bytes], sketches: np.ndarray) -> tuple[list[tuple[bytes, bytes]], list[int]]:
-    """Links of a run's members to leaders, and the leaders' places. Each member is compared with every leader up to the one it joins."""
-    rest, links, leaders = np.arange(len(nodes)), [], []
+    """Links of a run's members to leaders, and the leaders' places. Each member is compared with every leader up to the one it joins.
+
+    Only links that connect something new are given. Members come in order of their hashes, so the runs
+    of one group in many trees choose much the same few leaders.
+    """
+    rest, links, leaders = np.array(sorted(range(len(nodes)), key=nodes.__getitem__)), [], []
+    group = np.arange(len(nodes))
     while len(rest):
         leader = int(rest[0])
         leaders.append(leader)
         alike = (sketches[rest] == sketches[leader]).mean(1)
-        links += [(nodes[i], nodes[leader]) for i in rest[alike >= LINK_AT].tolist() if i != leader]
+        near = rest[alike >= LINK_AT]
+        # one link for each group that meets the leader's
+        groups, at = np.unique(group[near], return_index=True)
+        links += [(nodes[k], nodes[leader]) for g, k in zip(groups, near[at], strict=True) if g != group[leader]]
+        group[np.isin(group, groups)] = group[leader]
         rest = rest[(alike < JOIN_AT) & (rest != leader)]
     return links, leaders
 
@@ -134,8 +143,9 @@ def _link_batch(links, edge) -> pa.RecordBatch:
 def trie_links(rows: DataFrame, width: int) -> DataFrame:
     """(a, b) links among rows (tree, label, node, sketch): classes that share a label prefix of `width` bytes and may be similar.
 
-    Rows are range-partitioned by sampled splitters on (tree, label, node), so even a run of one label is
-    split; leaders of the first and last run of each partition meet in a second, much smaller pass.
+    Rows are range-partitioned by sampled splitters on (tree, label prefix, a hash of the node), so even a
+    run of one label is split; leaders of the first and last run of each partition meet in a second, much
+    smaller pass.
     """
 
     def inside(batches):
@@ -154,9 +164,11 @@ def trie_links(rows: DataFrame, width: int) -> DataFrame:
 
     spark = rows.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = ["tree", "label", "node"]
-    first = checkpointed(rows.select(*order, "sketch").repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(inside, LINK_SCHEMA))
-    again = first.where("b is null").select("tree", "label", F.col("a").alias("node"), "sketch").repartition(n, "tree", "label").sortWithinPartitions(*order).mapInArrow(across, LINK_SCHEMA)
+    order = ["tree", "label", "tie"]
+    # the hash mixes the nodes of a split run, so its parts choose from the same smallest nodes
+    rows = rows.select("tree", F.expr(f"substring(label, 1, {width})").alias("label"), "node", "sketch", F.xxhash64("node").alias("tie"))
+    first = checkpointed(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(inside, LINK_SCHEMA))
+    again = first.where("b is null").select("tree", "label", F.col("a").alias("node"), "sketch").repartition(n, "tree", "label").sortWithinPartitions("tree", "label").mapInArrow(across, LINK_SCHEMA)
     return first.where("b is not null").select("a", "b").union(again.select("a", "b")).distinct()
 
 
