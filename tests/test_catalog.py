@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lorekeep.operators import dml
 from lorekeep.plans import catalog as plan
 from lorekeep.schemas import REFERENCES, SCHEMAS
-from lorekeep.sources.endpoint import listed, reply
+from lorekeep.sources.endpoint import listed, reply, server
 from lorekeep.sources.store import Store, read_sqlite, write_text
 from lorekeep.streaming.delivery import delivered
 from lorekeep.tools import TOOLS, Tools
@@ -223,3 +223,24 @@ def test_store_text_sink_delivery_and_sqlite(spark, tmp_path, tools):
         db.execute("INSERT INTO coding_patterns VALUES (1, 'n', 'd', 'c', NULL, 1, '2024-01-02 03:04:05.1234567')")
     got = read_sqlite(spark, str(tmp_path / "x.db"))
     assert got["coding_patterns"].first()["CreatedAt"] == datetime(2024, 1, 2, 3, 4, 5, 123456) and got["code_templates"].isEmpty()
+
+
+def test_endpoint_answers_over_http(tools):
+    import threading
+    import urllib.request
+
+    http = server(tools, port=0)
+    threading.Thread(target=http.serve_forever, daemon=True).start()
+    try:
+        base = f"http://127.0.0.1:{http.server_address[1]}"
+        events = urllib.request.urlopen(f"{base}/sse", timeout=30)
+        assert events.readline() == b"event: endpoint\n"
+        ask = urllib.request.Request(base, json.dumps({"id": 7, "method": "tools/call", "params": {"name": "get_code_template", "arguments": {"id": 9}}}).encode())
+        answer = json.loads(urllib.request.urlopen(ask, timeout=60).read())
+        assert answer["id"] == 7 and answer["result"]["content"][0]["text"] == "Template with id 9 not found"
+        for line in iter(events.readline, b""):
+            if line.startswith(b"data: {"):
+                assert json.loads(line[6:]) == answer
+                break
+    finally:
+        http.shutdown()
