@@ -23,12 +23,18 @@ def has_words(c: Column) -> Column:
     return ~F.coalesce(c, F.lit("")).rlike(r"^\s*$")
 
 
-def contains_any(columns: list[Column], needle: str) -> Column:
-    """Case-insensitive substring of any of the columns; % and _ are ordinary; an empty needle is in every text.
+#: The one letter that lower-casing expands; it keeps to itself under a private code point.
+EXPANDING, OWN = "İ", "\ue130"
+
+
+def folded(c: Column) -> Column:
+    """Lower case letter by letter: nothing expands, and both small sigmas are one. Far faster than comparing under a collation."""
+    return F.translate(F.lower(F.translate(c, EXPANDING, OWN)), "ς", "σ")
 
-    Compares under a lower-casing collation, so letters that upper-casing would expand stay as they are.
-    """
-    hit = [F.contains(F.collate(F.coalesce(c, F.lit("")), "UTF8_LCASE"), F.lit(needle)) for c in columns]
+
+def contains_any(columns: list[Column], needle: str) -> Column:
+    """Case-insensitive substring of any of the columns; % and _ are ordinary; an empty needle is in every text."""
+    hit = [F.contains(folded(F.coalesce(c, F.lit(""))), folded(F.lit(needle))) for c in columns]
     return reduce(lambda a, b: a | b, hit)
 
 

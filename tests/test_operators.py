@@ -73,3 +73,12 @@ def test_seek_is_pushed_down_and_a_page_is_one_top_k(spark, small):
 
 def test_four_lists_have_no_product(spark, small):
     assert "CartesianProduct" not in plan_of(registry.four_child_lists(spark, small))
+
+
+def test_search_folds_letter_by_letter(spark):
+    from lorekeep.functions.text import contains_any
+
+    d = spark.createDataFrame([("İzmir",), ("ΟΔΟΣ",), ("straße",)], "t string")
+    hits = lambda q: [r[0] for r in d.where(contains_any([F.col("t")], q)).collect()]
+    assert hits("i") == ["İzmir"] and hits("iz") == [] and hits("İZ") == ["İzmir"]
+    assert hits("οδος") == hits("ΟΔΟΣ") == ["ΟΔΟΣ"] and hits("SS") == [] and hits("STRAß") == ["straße"]
