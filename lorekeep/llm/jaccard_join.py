@@ -332,7 +332,8 @@ def near_duplicates(docs: DataFrame, similarity: Fraction = SIMILARITY, shingle:
     heads = known.groupBy("root").agg(F.min("first").alias("head"))
     known = known.join(heads, "root").select("node", "links", "head")
     per_class = classes.select("node", "copies", "first").join(known, "node", "left").select("node", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("head", "first").alias("head"))
-    out = d.select("doc_id", "text_hash", "node").join(per_class, "node", "left")
+    # both sides of this join are dealt out for it alone, so Spark can split a class of very many copies
+    out = d.select("doc_id", "text_hash", "node").join(checkpointed(per_class), "node", "left")
     own_head = F.struct("doc_id", "text_hash")
     return out.select(
         "doc_id",
