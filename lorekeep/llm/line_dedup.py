@@ -4,6 +4,9 @@ Every window of `run_lines` consecutive lines selects its least line hash; the s
 fingerprints, and any repeated run of at least `run_lines` lines is sure to contain one. Fingerprints
 that occur more than once are joined to their positions, each match is extended to both sides over the
 windows that selected it, and the lines of every window that occurred before are deleted.
+
+With `long_words` a shorter run is a repeat too if it holds more words than that. Such runs are windows of
+their own, one for each start and number of lines, and each is its own fingerprint.
 """
 
 from __future__ import annotations
@@ -14,28 +17,46 @@ from pyspark.sql import functions as F
 from lorekeep.llm.common import checkpointed
 
 RUN_LINES = 3
+#: Words beyond which a run of fewer lines counts as well, where that is asked for.
+LONG_WORDS = 50
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def repeated_lines(docs: DataFrame, run_lines: int = RUN_LINES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _long_runs(k: int, long_words: int) -> Column:
+    """Windows of k lines with more than `long_words` words, as structs; their offset is -k."""
+    words = lambda i: F.aggregate(F.slice("n_words", i + 1, k), F.lit(0), lambda a, x: a + x)
+    part = lambda i: F.slice("h", i + 1, k)
+    long = F.filter(F.sequence(F.lit(0), F.size("h") - k), lambda i: words(i) > long_words)
+    runs = F.transform(long, lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit(-k), part(i)).alias("print"), F.lit(-k).alias("offset"), F.xxhash64(part(i)).alias("whole")))
+    return F.when(F.size("h") >= k, runs).otherwise(F.array())
+
+
+def repeated_lines(docs: DataFrame, run_lines: int = RUN_LINES, id_col: str = "doc_id", text_col: str = "text", long_words: int | None = None) -> DataFrame:
     """(doc_id, text_hash, removed): the line numbers to delete from each document that has any.
 
-    A window of `run_lines` lines is a repeat if an equal one begins earlier, in order of id (nulls
-    first), text hash and line. Rows equal in id and text count as one document: both lose the same
-    lines, and neither makes the other a repeat.
+    A window of `run_lines` lines, or of fewer that hold more than `long_words` words (None: no such), is a
+    repeat if an equal one begins earlier, in order of id (nulls first), text hash and line. Rows equal in
+    id and text count as one document: both lose the same lines, and neither makes the other a repeat.
     """
     t = run_lines
-    d = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("text_hash"), F.transform(_lines(F.col(f"`{text_col}`")), lambda x: F.xxhash64(x)).alias("h"))
+    text = F.col(f"`{text_col}`")
+    d = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.transform(_lines(text), lambda x: F.xxhash64(x)).alias("h"), *([] if long_words is None else [F.transform(_lines(text), lambda x: F.regexp_count(x, F.lit(WORD))).alias("n_words")]))
     part = lambda i: F.slice("h", i + 1, t)
     windows = F.transform(
         F.sequence(F.lit(0), F.size("h") - t),
         # of equal minima the last is selected
         lambda i: F.struct(i.alias("at"), F.array_min(part(i)).alias("print"), (F.lit(t) - F.array_position(F.reverse(part(i)), F.array_min(part(i)))).cast("int").alias("offset"), F.xxhash64(part(i)).alias("whole")),
     )
-    w = d.where(F.size("h") >= t).select("doc_id", "text_hash", F.explode(windows).alias("w")).select("doc_id", "text_hash", "w.*")
+    if long_words is None:
+        w = d.where(F.size("h") >= t).select("doc_id", "text_hash", F.explode(windows).alias("w"))
+    else:
+        parts = [F.when(F.size("h") >= t, windows).otherwise(F.array())] + [_long_runs(k, long_words) for k in range(1, t)]
+        w = d.select("doc_id", "text_hash", F.explode(F.concat(*parts)).alias("w"))
+    w = w.select("doc_id", "text_hash", "w.*")
     w = checkpointed(w)  # five numbers a line; the texts are read once for this
     # a selected position is counted once, at the first window that selected it
     prints = w.select("print", F.struct("doc_id", "text_hash", (F.col("at") + F.col("offset")).alias("line")).alias("place")).groupBy("print").agg(F.min("place").alias("a"), F.max("place").alias("b")).where("a != b").select("print")
@@ -44,19 +65,20 @@ def repeated_lines(docs: DataFrame, run_lines: int = RUN_LINES, id_col: str = "d
     place = F.struct("doc_id", "text_hash", "at")
     first = candidates.groupBy(*key).agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").drop("last")
     later = candidates.join(first, key).where(place > F.col("first"))
-    lines = later.select("doc_id", "text_hash", F.explode(F.sequence("at", F.col("at") + t - 1)).alias("line"))
+    size = F.when(F.col("offset") < 0, -F.col("offset")).otherwise(t)
+    lines = later.select("doc_id", "text_hash", F.explode(F.sequence("at", F.col("at") + size - 1)).alias("line"))
     return lines.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("line")).alias("removed"))
 
 
-def dedup_lines(docs: DataFrame, run_lines: int = RUN_LINES, id_col: str = "doc_id", text_col: str = "text", report_col: str = "line_report") -> DataFrame:
-    """docs with the later repeats of runs of at least `run_lines` lines deleted from the text.
+def dedup_lines(docs: DataFrame, run_lines: int = RUN_LINES, id_col: str = "doc_id", text_col: str = "text", report_col: str = "line_report", long_words: int | None = None) -> DataFrame:
+    """docs with the later repeats of runs of at least `run_lines` lines, or of more than `long_words` words, deleted from the text.
 
     All columns stay, and a struct `report_col` (n_lines, n_removed, n_runs) is added; pick another name
     if docs has one like it. Lines end at a line feed. The first occurrence of a run stays, also within a
-    document. A null text is one empty line and stays null; a text of fewer lines stays as it is; a text
+    document. A null text is one empty line and stays null; a text without such runs stays as it is; a text
     all of whose lines go becomes empty; an empty table gives no rows.
     """
-    removed = repeated_lines(docs, run_lines, id_col, text_col).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("removed").alias("__removed"))
+    removed = repeated_lines(docs, run_lines, id_col, text_col, long_words).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("removed").alias("__removed"))
     text = F.col(f"`{text_col}`")
     joined = docs.withColumn("__own_hash", F.xxhash64(text)).join(removed, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.col("__own_hash") == F.col("__hash")), "left")
     lines = _lines(text)

@@ -88,6 +88,37 @@ def test_line_dedup_equals_brute_force(spark, small):
     assert {r[0]: r[1:] for r in con.sql(f"WITH {line_dedup.lines_sql()} SELECT doc_id, text, n_lines, n_removed, n_runs FROM lines_out").fetchall()} == got
 
 
+def kept_runs(docs, t=line_dedup.RUN_LINES, words=line_dedup.LONG_WORDS):
+    """Brute force: as kept_lines(), and runs of fewer lines with more words go too."""
+    seen, out = set(), {}
+    for d, text in docs:
+        lines, gone = text.split("\n"), set()
+        for i in range(len(lines)):
+            for k in range(1, min(t, len(lines) - i) + 1):
+                w = tuple(lines[i : i + k])
+                if k == t or sum(len(re.findall(r"[^ \t-\r]+", x)) for x in w) > words:
+                    if w in seen:
+                        gone.update(range(i, i + k))
+                    seen.add(w)
+        out[d] = ("\n".join(x for i, x in enumerate(lines) if i not in gone), len(lines), len(gone), sum(i - 1 not in gone for i in gone))
+    return out
+
+
+def test_long_runs_of_few_lines_go(spark, small):
+    """A passage of more than 50 words goes however few lines it has, also from texts of one or two lines."""
+    long, half = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(30))
+    rng = random.Random(8)
+    lines = [long, half, half + " x", "a", "b", "", " ".join("z" for _ in range(50)), " ".join("y" for _ in range(51))]
+    docs = [(0, long), (1, f"x\n{long}\ny"), (2, f"{half}\n{half} x"), (3, f"p\n{half}\n{half} x\nq"), (4, long)]
+    docs += [(10 + i, "\n".join(rng.choice(lines) for _ in range(rng.randrange(1, 9)))) for i in range(60)]
+    docs += [(1000 + d, t) for d, t in duckdb.sql(f"SELECT doc_id, text FROM '{small}/documents.parquet' ORDER BY 1").fetchall()]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["text"], *r["line_report"]) for r in line_dedup.dedup_lines(df, long_words=line_dedup.LONG_WORDS).collect()}
+    assert got == kept_runs(docs)
+    assert [got[i][0] for i in (1, 3, 4)] == ["x\ny", "p\nq", ""]
+    assert kept_runs(docs) != kept_lines(docs)
+
+
 def test_line_dedup_is_native(spark, small):
     plan = line_dedup.dedup_lines(spark.read.parquet(f"{small}/documents.parquet"))._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
