@@ -172,11 +172,11 @@ def trie_links(rows: DataFrame, width: int) -> DataFrame:
     return first.where("b is not null").select("a", "b").union(again.select("a", "b")).distinct()
 
 
-def similar_pairs(sets: list[np.ndarray], side: np.ndarray, similarity: Fraction) -> np.ndarray:
-    """Matrix of which pairs are similar; with both sides present only pairs across them, else all but the diagonal."""
+def similar_pairs(sets: list[np.ndarray], side: np.ndarray, within: bool, similarity: Fraction) -> np.ndarray:
+    """Matrix of which pairs are similar: within one part all but the diagonal, else only pairs across the sides."""
     m = len(sets)
     left = np.flatnonzero(side == 0)
-    right = np.flatnonzero(side == 1) if side.any() else left
+    right = left if within else np.flatnonzero(side == 1)
     sizes = np.array([len(s) for s in sets], np.int64)
     flat = np.concatenate(sets)
     row = np.repeat(np.arange(m), sizes)
@@ -198,24 +198,27 @@ def similar_pairs(sets: list[np.ndarray], side: np.ndarray, similarity: Fraction
     p, q = similarity.numerator, similarity.denominator
     # intersection / union >= p / q
     out = inter * np.float64(p + q) >= p * (sizes[left][:, None] + sizes[right][None, :]).astype(np.float64)
-    if not side.any():
+    if within:
         np.fill_diagonal(out, False)
     return out
 
 
-def _block(group: dict, similarity: Fraction):
-    """(node, links, root) of a block's classes: links counts the documents of similar classes."""
+def _block(group: dict, within: bool, similarity: Fraction):
+    """(node, links, root) of a block's classes: links counts the documents of similar classes.
+
+    Within one part all pairs are compared, else those of its two parts; one of them may have no class.
+    """
     nodes, copies = group["node"], np.array(group["copies"], np.int64)
     side = np.array(group["side"])
     sets = [np.frombuffer(s, U64) for s in group["shingles"]]
     links = np.zeros(len(nodes), np.int64)
-    if len(nodes) > 1:
-        hit = similar_pairs(sets, side, similarity)
+    if len(nodes) > 1 and (within or 0 < side.sum() < len(side)):
+        hit = similar_pairs(sets, side, within, similarity)
         left = np.flatnonzero(side == 0)
-        right = np.flatnonzero(side == 1) if side.any() else left
+        right = left if within else np.flatnonzero(side == 1)
         if hit.size:
             links[left] += hit @ copies[right]
-            if side.any():
+            if not within:
                 links[right] += copies[left] @ hit
     else:
         left = right = np.arange(len(nodes))
@@ -313,14 +316,14 @@ def near_duplicates(docs: DataFrame, similarity: Fraction = SIMILARITY, shingle:
                 k = (columns["cluster"][i], columns["i"][i], columns["j"][i])
                 if k != key:
                     if group:
-                        yield _block_batch(group, similarity)
+                        yield _block_batch(group, key[1] == key[2], similarity)
                     group, key, last = {n: [] for n in ("node", "copies", "side", "shingles")}, k, None
                 if columns["node"][i] != last:  # rows equal in id and text come twice
                     for n in group:
                         group[n].append(columns[n][i])
                 last = columns["node"][i]
         if group:
-            yield _block_batch(group, similarity)
+            yield _block_batch(group, key[1] == key[2], similarity)
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["cluster", "i", "j"]
@@ -345,8 +348,8 @@ def near_duplicates(docs: DataFrame, similarity: Fraction = SIMILARITY, shingle:
     )
 
 
-def _block_batch(group: dict, similarity: Fraction) -> pa.RecordBatch:
-    nodes, links, roots = _block(group, similarity)
+def _block_batch(group: dict, within: bool, similarity: Fraction) -> pa.RecordBatch:
+    nodes, links, roots = _block(group, within, similarity)
     return pa.record_batch([pa.array(nodes, pa.binary()), pa.array(links, pa.int64()), pa.array(roots, pa.binary())], names=["node", "links", "root"])
 
 

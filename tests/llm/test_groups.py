@@ -191,6 +191,18 @@ def test_join_on_the_small_table(spark, small):
     assert {r["doc_id"]: (r["class_id"], r["copies"], r["n_links"]) for r in got.collect()} == linked(docs)
 
 
+def test_empty_parts_add_no_links(spark):
+    """Clusters of two classes in three parts: often both are in one and a higher one is empty; no pair is counted twice."""
+    texts = []
+    for c in range(24):
+        words = [f"c{c}w{i}" for i in range(100)]
+        texts += [" ".join(words), " ".join([*words, "more"])]
+    docs = list(enumerate(texts))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: (r["class_id"], r["copies"], r["n_links"]) for r in jaccard_join.near_duplicates(df, block_shingles=70).collect()}
+    assert got == linked(docs)
+
+
 def test_prefixes_are_shortened_to_the_recall():
     depth = jaccard_join.prefix_depth(0.8, jaccard_join.TREES, jaccard_join.DEPTH, jaccard_join.TARGET_RECALL)
     assert 1 - (1 - 0.8**depth) ** jaccard_join.TREES >= jaccard_join.TARGET_RECALL > 1 - (1 - 0.8 ** (depth + 1)) ** jaccard_join.TREES
