@@ -2,7 +2,8 @@
 
 Terms are a text's distinct words and word beginnings, hashed to a fixed space. The machine scores
 w0 + sum w_i + sum over pairs <v_i, v_j>, so a pair such as an insult and a group's name can weigh what
-neither weighs alone. It is fitted on a bounded sample of labelled rows of the training folds.
+neither weighs alone. It is fitted on a bounded sample of labelled rows of the training folds, in which a
+class that was cut down weighs as much as all its rows.
 """
 
 from __future__ import annotations
@@ -67,13 +68,13 @@ class Terms:
         return set(chain.from_iterable(map(seen.__getitem__, words)))
 
 
-def best_cut(margin: np.ndarray, y: np.ndarray) -> float:
-    """The margin that parts the classes with the best F1, halfway between two rows; 0 if there is but one class."""
+def best_cut(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
+    """The margin that parts the classes with the best F1 of weighted rows, halfway between two rows; 0 if there is but one class."""
     if not 0 < y.sum() < len(y):
         return 0.0
     order = np.argsort(-margin, kind="stable")
-    m, hit = margin[order], np.cumsum(y[order])
-    f1 = 2 * hit / (np.arange(1, len(y) + 1) + y.sum())
+    m, hit = margin[order], np.cumsum((weight * y)[order])
+    f1 = 2 * hit / (np.cumsum(weight[order]) + (weight * y).sum())
     f1[:-1][m[:-1] == m[1:]] = 0  # equal margins stay together
     k = int(np.argmax(f1))
     return float(m[k] if k + 1 == len(m) else (m[k] + m[k + 1]) / 2)
@@ -96,9 +97,14 @@ class FactorizationMachine:
         return bias + linear + 0.5 * ((sums**2).sum(1) - squares), sums
 
     @classmethod
-    def fit(cls, features: list[np.ndarray], y: np.ndarray, seed: int = 7) -> FactorizationMachine:
-        """Adam on the logistic loss with L2; the order of rows and the seed fix the result."""
+    def fit(cls, features: list[np.ndarray], y: np.ndarray, weight: np.ndarray | None = None, seed: int = 7) -> FactorizationMachine:
+        """Adam on the logistic loss with L2; the order of rows and the seed fix the result.
+
+        Loss, first bias and cut weigh the rows (None: alike). Terms are chosen by a test of each against
+        the rows' classes, which holds for any mix of them.
+        """
         n = len(features)
+        weight = np.ones(n) if weight is None or not n else weight * (n / weight.sum())
         sizes = np.array([len(x) for x in features], np.int64)
         if n == 0:
             return cls(np.zeros(0, np.int64), 0.0, np.zeros(0), np.zeros((0, FACTORS)))
@@ -119,7 +125,7 @@ class FactorizationMachine:
         cols, rows = at[keep], row_of[keep]
         bounds = np.searchsorted(rows, np.arange(n + 1))
         rng = np.random.default_rng(seed)
-        rate = (y.sum() + 0.5) / (n + 1)
+        rate = ((weight * y).sum() + 0.5) / (n + 1)
         p = {"b": np.array([np.log(rate / (1 - rate))]), "w": np.zeros(len(terms)), "v": rng.normal(0, 0.02, (len(terms), FACTORS))}
         m1, m2, step = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
         for _ in range(EPOCHS):
@@ -130,7 +136,7 @@ class FactorizationMachine:
                 index = np.repeat(bounds[ids], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
                 c, r = cols[index], np.repeat(np.arange(len(ids)), count)
                 margin, sums = cls.margin(r, c, len(ids), p["b"][0], p["w"], p["v"])
-                e = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y[ids]) / len(ids)
+                e = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y[ids]) * weight[ids] / len(ids)
                 g = {"b": np.array([e.sum()]), "w": np.bincount(c, e[r], len(terms)) + 1e-4 * p["w"], "v": 1e-4 * p["v"]}
                 for f in range(FACTORS):
                     g["v"][:, f] += np.bincount(c, e[r] * (sums[r, f] - p["v"][c, f]), len(terms))
@@ -140,7 +146,7 @@ class FactorizationMachine:
                     m2[k] = 0.999 * m2[k] + 0.001 * g[k] ** 2
                     p[k] -= 0.02 * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.999**step)) + 1e-8)
         machine = cls(terms, float(p["b"][0]), p["w"], p["v"])
-        machine.bias -= best_cut(cls.margin(rows, cols, n, machine.bias, machine.weights, machine.factors)[0], y)
+        machine.bias -= best_cut(cls.margin(rows, cols, n, machine.bias, machine.weights, machine.factors)[0], y, weight)
         return machine
 
     def score(self, features: list[np.ndarray]) -> np.ndarray:
@@ -155,12 +161,15 @@ class FactorizationMachine:
 def fitted(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> FactorizationMachine:
     """A machine fitted on at most 2 * sample_rows labelled texts of the training folds.
 
-    Ids whose labels differ, and rows without an id or a label, teach nothing. The bias puts a score of
-    0.5 where it parts the sample's classes with the best F1.
+    Ids whose labels differ, and rows without an id or a label, teach nothing. A sampled row stands for as
+    many as its class has labelled ids for each sampled one. The bias puts a score of 0.5 where it parts the
+    so weighted classes with the best F1.
     """
     label = F.col(f"`{label_col}`").cast("int")
     known = labels.select(F.col(f"`{id_col}`").alias("id"), label.alias("y")).where(F.col("id").isNotNull() & F.col("y").isin(0, 1) & (fold("id", FOLDS) != HELD_OUT))
     known = known.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("y2")).where("y = y2").drop("y2")
+    total = {row["y"]: row["count"] for row in known.groupBy("y").count().collect()}
+    weight = {c: max(1.0, total.get(c, 0) / max(sample_rows, 1)) for c in (0, 1)}
     draw = F.xxhash64(F.col("id"))
     parts = [known.where(F.col("y") == c).orderBy(draw, "id").limit(sample_rows) for c in (0, 1)]
     sample = parts[0].union(parts[1]).withColumnRenamed("id", "__id")  # at most 2 * sample_rows ids: a bounded broadcast
@@ -175,7 +184,7 @@ def fitted(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample_
     got = map_texts(rows, run, "id long, y int, terms binary", "id", "text", ["y"]).toArrow().to_pydict()
     order = sorted(range(len(got["id"])), key=lambda i: (got["id"][i], got["terms"][i]))
     y = np.array([got["y"][i] for i in order], float)
-    return FactorizationMachine.fit([np.frombuffer(got["terms"][i], np.int32).astype(np.int64) for i in order], y)
+    return FactorizationMachine.fit([np.frombuffer(got["terms"][i], np.int32).astype(np.int64) for i in order], y, np.where(y == 1, weight[1], weight[0]))
 
 
 def scorer(docs: DataFrame, machine: FactorizationMachine):

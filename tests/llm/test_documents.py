@@ -270,6 +270,24 @@ def test_toxicity_held_out_accuracy(spark, small):
     assert again.join(toxicity.toxicity(d.drop("lang", "source"), labels.withColumn("quality", F.lit(0))).select("doc_id", F.col("score").alias("s")), "doc_id").where("score != s").isEmpty()
 
 
+def test_toxicity_sample_keeps_the_mix(spark):
+    """A word of three in four toxic texts, but of far more clean ones, doesn't make a text toxic where the sample is capped."""
+    rng = random.Random(12)
+    filler = [f"filler{i}" for i in range(200)]
+    docs = [(i, " ".join([*rng.sample(filler, 5), *(["gray"] if i % 4 == 0 else [])]), 0) for i in range(2500)]
+    docs += [(3000 + i, " ".join([*rng.sample(filler, 5), "awful" if i % 4 == 0 else "gray"]), 1) for i in range(50)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, toxic int").repartition(3)
+    got = keyed(toxicity.toxicity(d.drop("toxic"), d.select("doc_id", "toxic"), sample_rows=40))
+    assert all(got[i]["predicted"] for i, t, _ in docs if "awful" in t)
+    assert sum(got[i]["predicted"] for i, _, y in docs if not y) < 25
+
+
+def test_weighted_rows_count_as_copies():
+    rng = np.random.default_rng(3)
+    margin, y, times = rng.normal(size=200), (rng.random(200) < 0.3).astype(float), rng.integers(1, 9, 200)
+    assert toxicity.best_cut(margin, y, times.astype(float)) == toxicity.best_cut(np.repeat(margin, times), np.repeat(y, times), np.ones(times.sum()))
+
+
 def test_toxicity_odd(spark, odd, none):
     labels = spark.createDataFrame([(3, 1, 1), (3, 0, 0), (None, 1, 1), (5, 1, None), (0, 1, 0), (4, 1, 1)], "doc_id long, quality int, toxic int")
     r = toxicity.toxicity(odd.withColumn("score", F.lit("x")), labels).collect()
