@@ -172,6 +172,18 @@ def search_union_of_three(spark, sf_dir):
     return search_union(parts, "er", 200)
 
 
+@query("""SELECT 'Document' AS "Type", 0 AS source_order, doc_id AS hit_key FROM documents WHERE contains(lower(text), 'er')
+UNION ALL SELECT 'Page', 1, page_id FROM pages WHERE contains(lower(url), 'er')
+UNION ALL SELECT 'Part', 2, p_partkey FROM part WHERE contains(lower(p_name), 'er') OR contains(lower(p_type), 'er')""")
+def search_union_whole(spark, sf_dir):
+    parts = [
+        Searched("Document", _t(spark, sf_dir, "documents"), ["text"], [], "doc_id"),
+        Searched("Page", _t(spark, sf_dir, "pages"), ["url"], [], "page_id"),
+        Searched("Part", _t(spark, sf_dir, "part"), ["p_name", "p_type"], [], "p_partkey"),
+    ]
+    return search_union(parts, "er", None)
+
+
 @query("SELECT needle, count(*) AS n FROM documents, (VALUES ('die'), ('SS')) AS v(needle) WHERE contains(lower(text), lower(needle)) GROUP BY needle")
 def search_case(spark, sf_dir):
     d = _t(spark, sf_dir, "documents")
@@ -198,6 +210,18 @@ def report_kept_rows(spark, sf_dir):
     return grouped_lines(rows, "event_type", F.concat(F.col("event_id").cast("string"), F.lit("\n")), [F.col("event_id")], F.col("user_id") % 7 == 0)
 
 
+@query("""SELECT event_type AS "group", string_agg('- ' || user_id || '/' || event_id || chr(10), '' ORDER BY user_id DESC, event_id) AS body
+FROM events GROUP BY event_type""")
+def report_grouped_whole(spark, sf_dir):
+    line = F.concat(F.lit("- "), F.col("user_id").cast("string"), F.lit("/"), F.col("event_id").cast("string"), F.lit("\n"))
+    return grouped_lines(_t(spark, sf_dir, "events"), "event_type", line, [-F.col("user_id"), F.col("event_id")])
+
+
+@query("""SELECT event_type AS "group", coalesce(string_agg(event_id || chr(10), '' ORDER BY event_id) FILTER (WHERE user_id % 7 = 0), '') AS body FROM events GROUP BY event_type""")
+def report_kept_rows_whole(spark, sf_dir):
+    return grouped_lines(_t(spark, sf_dir, "events"), "event_type", F.concat(F.col("event_id").cast("string"), F.lit("\n")), [F.col("event_id")], F.col("user_id") % 7 == 0)
+
+
 @query("""SELECT conv_id, turn, CASE role WHEN 'system' THEN 2 WHEN 'user' THEN 1 WHEN 'assistant' THEN 0 END AS "rank",
   row_number() OVER (PARTITION BY conv_id ORDER BY CASE role WHEN 'system' THEN 2 WHEN 'user' THEN 1 ELSE 0 END DESC, turn) AS place FROM conversations""")
 def rank_order(spark, sf_dir):
