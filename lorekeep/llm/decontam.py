@@ -2,7 +2,8 @@
 
 A shard is the run of documents that a task holds at a time, as word numbers. Its suffix array lists, in
 order, the suffixes that begin with a word pair of the benchmark (no other can match a window). Every
-benchmark suffix is binary-searched in it for its longest verbatim match and the places of it.
+benchmark window (a fixed number of words) is binary-searched in it for its places. How far a match goes on
+beyond a window, or falls short of one, is not measured; spans are unions of windows, also of different items.
 """
 
 from __future__ import annotations
@@ -95,7 +96,7 @@ def search(array: np.ndarray, queries: np.ndarray, lengths: np.ndarray) -> tuple
     return lo, hi
 
 
-def longest_matches(words: np.ndarray, doc_of: np.ndarray, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def window_matches(words: np.ndarray, doc_of: np.ndarray, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, document, window number) of every whole occurrence of a window in the shard."""
     empty = np.empty(0, np.int64)
     if not len(words) or not len(block.suffixes):
@@ -147,7 +148,7 @@ def judged(texts: list[bytes], blocks: list[Block]) -> tuple[list[int], list[int
         for block in blocks:
             get = block.numbers.get
             numbers = np.fromiter(chain.from_iterable((*[get(x, 0) for x in w], 0) for w in words), dtype=np.int32, count=begin[-1])
-            s, e, d, window_no = longest_matches(numbers, doc_of, block)
+            s, e, d, window_no = window_matches(numbers, doc_of, block)
             for doc, number in set(zip(d.tolist(), window_no.tolist(), strict=True)):
                 names[doc].update(block.items[number])
             found.append((s, e))
