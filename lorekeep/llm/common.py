@@ -26,9 +26,11 @@ U64 = np.uint64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, set here only where the session has none (as in tests)."""
+    """The folder of spark.checkpoint.dir; set here only where a local session has none (as in tests). On a cluster that raises."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = "file://" + os.path.join(tempfile.gettempdir(), "lorekeep-checkpoints")
         spark.conf.set("spark.checkpoint.dir", at)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -110,6 +112,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: A key with more than one in so many rows is hot; so there are fewer hot keys than this.
+HOT_KEYS = 4096
+
+
+def skew_join(left: DataFrame, right: DataFrame, on: list[str], n_col: str, how: str = "inner") -> DataFrame:
+    """left joined ("inner" or "left_semi") to right, a written table with one row a key and how many rows of left it meets in n_col.
+
+    A key that meets more than 1 / HOT_KEYS of all such rows is broadcast (there are fewer than HOT_KEYS of
+    them), so no task gathers its rows; the others are shuffled as Spark sees fit.
+    """
+    total = right.agg(F.sum(n_col)).first()[0] or 0
+    is_hot = F.col(n_col) * HOT_KEYS > F.lit(total)
+    hot, rest = F.broadcast(right.where(is_hot).drop(n_col)), right.where(~is_hot).drop(n_col)
+    # hot rows leave before the shuffle
+    cold = left.join(F.broadcast(right.where(is_hot).select(*on)), on, "left_anti").join(rest, on, how)
+    return left.join(hot, on, how).unionByName(cold)
+
+
 def fold(column: str | Column, modulus: int) -> Column:
     """crc32 of the column as text, modulo; of a null, of the empty text."""
     c = F.col(column) if isinstance(column, str) else column

@@ -1,7 +1,8 @@
 """Connected components of an edge table, by alternating large and small stars.
 
 Each round is two groupings and two joins; no neighbour list is ever collected, so a node with very many
-neighbours is an ordinary skewed join. Rounds are cut by checkpoints in the shared folder.
+neighbours is split by skew_join(). Rounds are cut by checkpoints in the shared folder, and go on until a
+round changes nothing.
 """
 
 from __future__ import annotations
@@ -9,16 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import checkpointed
-
-MOST_ROUNDS = 60
+from lorekeep.llm.common import checkpointed, skew_join
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Links each node's neighbours (above it, or itself and those below it) to the least of all."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    joined = both.join(least, "a")
+    least = checkpointed(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n"))
+    joined = skew_join(both, least, ["a"], "n")
     if large:
         out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
@@ -31,7 +30,7 @@ def components(edges: DataFrame) -> DataFrame:
     start = edges.select("a", "b")
     nodes = start.select(F.col("a").alias("node")).union(start.select("b")).distinct()
     now, before = checkpointed(start.where("a != b").distinct()), None
-    for _ in range(MOST_ROUNDS):
+    while True:
         now = checkpointed(_star(_star(now, True), False))
         r = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(r) == before:

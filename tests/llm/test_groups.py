@@ -1,9 +1,11 @@
 """Operators 1, 4 and 8 and the pipeline, against brute force and on odd rows."""
 
 import collections
+import hashlib
 import itertools
 import random
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -12,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lorekeep.llm import chat, decontam, jaccard_join, line_dedup, mixing, toxicity
+from lorekeep.llm import chat, common, decontam, jaccard_join, line_dedup, mixing, toxicity
 from lorekeep.llm.components import components
 from lorekeep.llm.queries import llm_oracle_sql, llm_queries
 from tests.llm.conftest import SCHEMA, rows_of
@@ -81,11 +83,11 @@ def test_line_dedup_equals_brute_force(spark, small):
     docs = [(i, "\n".join(rng.choice("abcde") for _ in range(rng.randrange(0, 14)))) for i in range(60)]
     docs += [(1000 + d, t) for d, t in duckdb.sql(f"SELECT doc_id, text FROM '{small}/documents.parquet' ORDER BY 1").fetchall()]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
-    got = {r["doc_id"]: (r["text"], *r["line_report"]) for r in line_dedup.dedup_lines(df).collect()}
+    got = {r["doc_id"]: (r["text"], *r["line_report"]) for r in line_dedup.dedup_lines(df, long_words=None).collect()}
     assert got == kept_lines(docs)
     con = duckdb.connect()
     con.register("documents", pa.table(df.toArrow()))
-    assert {r[0]: r[1:] for r in con.sql(f"WITH {line_dedup.lines_sql()} SELECT doc_id, text, n_lines, n_removed, n_runs FROM lines_out").fetchall()} == got
+    assert {r[0]: r[1:] for r in con.sql(f"WITH {line_dedup.lines_sql(long_words=None)} SELECT doc_id, text, n_lines, n_removed, n_runs FROM lines_out").fetchall()} == got
 
 
 def kept_runs(docs, t=line_dedup.RUN_LINES, words=line_dedup.LONG_WORDS):
@@ -113,12 +115,36 @@ def test_long_runs_of_few_lines_go(spark, small):
     docs += [(10 + i, "\n".join(rng.choice(lines) for _ in range(rng.randrange(1, 9)))) for i in range(60)]
     docs += [(1000 + d, t) for d, t in duckdb.sql(f"SELECT doc_id, text FROM '{small}/documents.parquet' ORDER BY 1").fetchall()]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
-    got = {r["doc_id"]: (r["text"], *r["line_report"]) for r in line_dedup.dedup_lines(df, long_words=line_dedup.LONG_WORDS).collect()}
+    got = {r["doc_id"]: (r["text"], *r["line_report"]) for r in line_dedup.dedup_lines(df).collect()}
     assert got == kept_runs(docs)
+    con = duckdb.connect()
+    con.register("documents", pa.table(df.toArrow()))
+    assert {r[0]: r[1:] for r in con.sql(f"WITH {line_dedup.lines_sql()} SELECT doc_id, text, n_lines, n_removed, n_runs FROM lines_out").fetchall()} == got
     assert [got[i][0] for i in (1, 3, 4)] == ["x\ny", "p\nq", ""]
     assert kept_runs(docs) != kept_lines(docs)
 
 
+def test_very_many_lines(spark):
+    """Time is linear in the lines of a text: 200,000 of them, half repeats, take seconds."""
+    half = "\n".join(f"line {i} of many" for i in range(100_000))
+    df = spark.createDataFrame([(0, f"a\n{half}"), (1, f"{half}\nb\n{half}")], "doc_id long, text string")
+    start = time.monotonic()
+    got = line_dedup.dedup_lines(df).select("doc_id", "line_report.*", F.md5("text").alias("md5")).orderBy("doc_id").collect()
+    assert time.monotonic() - start < 60
+    assert [tuple(r)[1:4] for r in got] == [(100_001, 0, 0), (200_001, 200_000, 2)] and got[1]["md5"] == hashlib.md5(b"b").hexdigest()
+
+
+def test_hot_lines_are_split(spark, monkeypatch):
+    """A line in most documents goes by broadcast, all else by shuffle; the result is that of brute force."""
+    rng = random.Random(14)
+    docs = [(i, "\n".join(["hot", "hot", "hot", *(rng.choice("abcdef") for _ in range(5))])) for i in range(50)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    for hot in (0, 8, 1 << 40):
+        monkeypatch.setattr(common, "HOT_KEYS", hot)
+        got = {r["doc_id"]: (r["text"], *r["line_report"]) for r in line_dedup.dedup_lines(df).collect()}
+        assert got == kept_runs(docs)
+
+
 def test_line_dedup_is_native(spark, small):
     plan = line_dedup.dedup_lines(spark.read.parquet(f"{small}/documents.parquet"))._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
@@ -244,7 +270,7 @@ def test_pipeline_equals_brute_force(spark, small):
     d = spark.read.parquet(f"{small}/documents.parquet")
     toxic = {r["doc_id"] for r in toxicity.toxicity(d, spark.read.parquet(f"{small}/labels.parquet")).where("predicted = 1").collect()}
     docs = [(i, t) for i, t in duckdb.sql(f"SELECT doc_id, text FROM '{small}/documents.parquet' ORDER BY 1").fetchall() if i not in toxic]
-    docs = [(i, text) for i, (text, n, gone, _) in kept_lines(docs).items() if gone < n]
+    docs = [(i, text) for i, (text, n, gone, _) in kept_runs(docs).items() if gone < n]
     classes = linked(docs)
     docs = [(i, t) for i, t in docs if classes[i][0] == i]
     from tests.llm.test_documents import windows_hit
