@@ -22,11 +22,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import U64, byte_texts, checkpointed, map_texts, mix64, new_folder, pack, pieces, put_bytes, runs_of
+from lorekeep.llm.common import U64, byte_texts, checkpointed, map_texts, mix64, new_folder, runs_of
 from lorekeep.llm.ngram_lm import Gathered, Vocabulary, by_shard
 
 LENGTH, CORE = 200, 64
@@ -34,7 +35,13 @@ LENGTH, CORE = 200, 64
 BUCKET_SUFFIXES = 40_000
 #: Suffixes of the sample that splitters are taken from, for each bucket, and of the whole sample at most
 #: (each some 250 bytes on the driver). Splitters only deal suffixes out; a coarser sample changes no result.
-SAMPLE_PER_BUCKET, SAMPLE_MOST = 60, 1_000_000
+SAMPLE_PER_BUCKET, SAMPLE_MOST = 60, 200_000
+#: Bytes of text that a worker takes at a time; longer texts are taken in parts that share `length` - 1 bytes.
+SEGMENT_BYTES = 2 << 20
+#: Suffixes in an Arrow batch.
+BATCH_ROWS = 10_000
+#: A text with a repeated sampled position in so many bytes is periodic: its own repeats are found first.
+CROWDED = 16
 #: Below this many suffixes a part is left to the library's sort.
 SMALL = 48
 
@@ -51,6 +58,28 @@ def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(out[: len(out) - rest], out[rest:]) if rest else out
 
 
+def segments(texts: list[bytes], length: int, limit: int | None = None):
+    """(text number and offset of each part, the parts): texts together, or parts of one long text, of some SEGMENT_BYTES.
+
+    The parts of a text overlap by `length` - 1 bytes, so each window lies in one part, and in one alone.
+    """
+    limit = limit or SEGMENT_BYTES
+    members, parts, size = [], [], 0
+    for i, t in enumerate(texts):
+        for at in range(0, max(1, len(t) - length + 1), limit):
+            part = t[at : at + limit + length - 1] if len(t) > limit else t
+            if parts and size + len(part) > limit:
+                yield members, parts
+                members, parts, size = [], [], 0
+            members.append((i, at))
+            parts.append(part)
+            size += len(part)
+            if part is t:
+                break
+    if parts:
+        yield members, parts
+
+
 class Sampler:
     """Sampled positions of texts, each with the window starts it owns."""
 
@@ -111,6 +140,32 @@ class Sampler:
         return data, starts, hp[k], places[k], own_lo, own_hi
 
 
+    def first_windows(self, text: bytes, place: np.ndarray, own_lo: np.ndarray, own_hi: np.ndarray):
+        """(positions, window starts, covered runs): of the windows that positions own, the first of each content, and the ranges that the text's own repeats cover."""
+        n = own_hi - own_lo + 1
+        owner = np.repeat(np.arange(len(place)), n)
+        start = np.repeat(own_lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        order = np.argsort(start, kind="stable")
+        owner, start = owner[order], start[order]
+        content = _window_hashes(text, self.length)[start]
+        _, first, back, count = np.unique(content, return_index=True, return_inverse=True, return_counts=True)
+        twice = start[count[back] > 1]
+        runs = runs_of(twice, twice + self.length)
+        return place[owner[first]], start[first], list(zip(runs[0].tolist(), runs[1].tolist(), strict=True))
+
+
+def _window_hashes(text: bytes, length: int) -> np.ndarray:
+    """A 64-bit hash of each `length` bytes of the text."""
+    h, done, factor = np.frombuffer(text, np.uint8).astype(U64) + U64(1), 1, int(BASE)
+    while done * 2 <= length:
+        h = h[: len(h) - done] * U64(factor) + h[done:]
+        factor = factor * factor % (1 << 64)
+        done *= 2
+    # the two stretches of `done` bytes that begin and end a window cover it
+    n = len(text) - length + 1
+    return mix64(h[:n]) * U64(0x9E3779B97F4A7C15) + mix64(h[length - done : length - done + n] ^ BASE)
+
+
 def multikey_quicksort(strings: np.ndarray) -> np.ndarray:
     """The order of equally long byte strings (rows of uint8), split three ways on eight bytes at a time."""
     n, width = strings.shape
@@ -164,7 +219,7 @@ def equal_windows(right: np.ndarray, left: np.ndarray, least: np.ndarray, most:
 
 
 COVER = "doc_id long, text_hash long, start long, end long"
-PLACED = "bucket int, key binary, before binary, least int, most int, doc_id long, text_hash long, place long"
+PLACED = "bucket int, key binary, before binary, least int, most int, doc_id long, text_hash long, place long, covered_to long"
 
 
 def bucket_key(right: bytes, doc: int | None, text_hash: int, place: int, length: int) -> bytes:
@@ -185,55 +240,74 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, core: int = CORE, buck
     d = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"), F.xxhash64(F.col(f"`{text_col}`")).alias("text_hash")).where(F.octet_length("text") >= length)
 
     def counted(batches):
-        gathered = Gathered(lambda v: Vocabulary.shard_of(v, bits))
+        gathered = Gathered(lambda keys: Vocabulary.shard_of(keys[0], bits))
         for b in batches:
-            texts = byte_texts(b.column(1))
-            for lo, hi in pieces(texts, 2 << 20):
-                h, n = np.unique(sampler.of(texts[lo:hi])[2], return_counts=True)
-                yield from gathered.add(h, n.astype(U64))
+            for _, texts in segments(byte_texts(b.column(1)), length):
+                h, n = np.unique(sampler.of(texts)[2], return_counts=True)
+                yield from gathered.add((h,), n.astype(U64))
         yield from gathered.out()
 
-    def save(shard, hashes, counts):
+    def save(shard, keys, counts):
         twice = counts > 1
-        put_bytes(f"{folder}/words-{shard}", pack({"hash": hashes[twice], "count": counts[twice].astype(np.int64)}))
+        Vocabulary.save(folder, shard, bits, keys[0][twice], counts[twice])
         return pa.record_batch([pa.array([shard], pa.int32()), pa.array([int(twice.sum())], pa.int64()), pa.array([int(counts[twice].sum())], pa.int64())], names=["shard", "n", "total"])
 
-    got = by_shard(d.mapInArrow(counted, "shard int, counts binary"), n_out, save, "shard int, n long, total long").collect()
+    got = by_shard(d.mapInArrow(counted, "shard int, counts binary"), max(n_out, 1 << bits), save, "shard int, n long, total long").collect()
     cores = Vocabulary(folder, bits, {r["shard"]: r["n"] for r in got}, sum(r["total"] for r in got))
     buckets = max(1, -(-cores.total // bucket_suffixes))
     shared = spark.sparkContext.broadcast(cores)
 
     def suffixes(batches, every: int = 1):
-        """Rows of (key, before, least, most, doc_id, text_hash, place); of every 1 in `every` hashes of places alone."""
+        """Rows of (key, before, least, most, doc_id, text_hash, place, covered to), at most BATCH_ROWS at a time.
+
+        covered to: null, or the end of a range from `place` that repeats within its own text; such a row holds
+        no suffix. every: only one in so many hashes of places, and no ranges.
+        """
         for b in batches:
-            ids, texts, hashes = b.column(0).to_pylist(), byte_texts(b.column(1)), b.column(2).to_pylist()
-            for lo, hi in pieces(texts, 2 << 20):
-                data, starts, h, place, own_lo, own_hi = sampler.of(texts[lo:hi])
+            ids, hashes = b.column(0).to_pylist(), b.column(2).to_pylist()
+            for members, texts in segments(byte_texts(b.column(1)), length):
+                data, starts, h, place, own_lo, own_hi = sampler.of(texts)
                 if not len(h):
                     continue
                 u, back = np.unique(h, return_inverse=True)
-                keep = np.flatnonzero((shared.value.lookup(u)[1] > 1)[back])
-                doc = np.searchsorted(starts, place[keep], side="right") - 1
+                keep = np.flatnonzero((shared.value.lookup(u, counted=False)[0] >= 0)[back])
+                place, own_lo, own_hi = place[keep], own_lo[keep], own_hi[keep]
+                doc = np.searchsorted(starts, place, side="right") - 1
                 rows = []
-                for p, s_lo, s_hi, k in zip(place[keep].tolist(), own_lo[keep].tolist(), own_hi[keep].tolist(), doc.tolist(), strict=True):
-                    key = bucket_key(data[p : s_hi + length], ids[lo + k], hashes[lo + k], p - int(starts[k]), length)
+                crowded = np.flatnonzero(np.bincount(doc, minlength=len(texts)) * CROWDED > [len(t) for t in texts])
+                for k in crowded.tolist():
+                    mine = doc == k
+                    p, s, runs = sampler.first_windows(texts[k], place[mine] - starts[k], own_lo[mine] - starts[k], own_hi[mine] - starts[k])
+                    place, own_lo, own_hi, doc = (np.r_[x[~mine], y] for x, y in ((place, p + starts[k]), (own_lo, s + starts[k]), (own_hi, s + starts[k]), (doc, np.full(len(p), k))))
+                    at, offset = members[k]
+                    if every == 1:
+                        rows += [(bucket_key(texts[k][a : a + length], ids[at], hashes[at], a + offset, length), b"", 0, 0, ids[at], hashes[at], a + offset, z + offset) for a, z in runs]
+                for p, s_lo, s_hi, k in zip(place.tolist(), own_lo.tolist(), own_hi.tolist(), doc.tolist(), strict=True):
+                    at, offset = members[k]
+                    own = p - int(starts[k]) + offset
+                    key = bucket_key(data[p : s_hi + length], ids[at], hashes[at], own, length)
                     if every == 1 or int.from_bytes(key[-8:], "big") % every == 0:
-                        rows.append((key, data[s_lo:p][::-1], p - s_hi, p - s_lo, ids[lo + k], hashes[lo + k], p - int(starts[k])))
+                        rows.append((key, data[s_lo:p][::-1], p - s_hi, p - s_lo, ids[at], hashes[at], own, None))
+                    if len(rows) >= BATCH_ROWS:
+                        yield rows
+                        rows = []
                 if rows:
                     yield rows
 
+    cores_total = cores.total
+
     def sampled(batches):
         every = max(1, cores_total // min(buckets * SAMPLE_PER_BUCKET, SAMPLE_MOST))
         for rows in suffixes(batches, every):
             yield pa.record_batch([pa.array([r[0] for r in rows], pa.binary())], names=["key"])
 
-    cores_total = cores.total
-    keys = sorted(r["key"] for r in d.mapInArrow(sampled, "key binary").toLocalIterator()) if buckets > 1 else []
+    # one job; some SAMPLE_MOST keys at most come here
+    keys = sorted(d.mapInArrow(sampled, "key binary").toArrow().column("key").to_pylist()) if buckets > 1 else []
     splitters = [keys[len(keys) * k // buckets] for k in range(1, buckets)] if keys else []
     split = spark.sparkContext.broadcast(splitters)
 
     def placed(batches):
-        kinds = [pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+        kinds = [pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
         names = [x.split()[0] for x in PLACED.split(", ")]
         for rows in suffixes(batches):
             bucket = [bisect.bisect_right(split.value, r[0]) for r in rows]
@@ -269,8 +343,15 @@ def _buckets(batches):
 
 def solve_bucket(table: pa.Table, splitters: list[bytes], length: int, core: int):
     """Batches of byte ranges that windows met twice in the bucket cover, and of the windows of cores that a splitter cuts."""
-    n = table.num_rows
     bucket = table.column("bucket")[0].as_py()
+    own = pc.is_valid(table.column("covered_to"))
+    known = table.filter(own)
+    if known.num_rows:
+        yield _cover(*[known.column(c).to_pylist() for c in ("doc_id", "text_hash", "place", "covered_to")], None, bucket)
+    table = table.filter(pc.invert(own))
+    n = table.num_rows
+    if not n:
+        return
     keys, before = table.column("key").to_pylist(), table.column("before").to_pylist()
     least, most = table.column("least").to_numpy(), table.column("most").to_numpy()
     doc, text_hash, place = table.column("doc_id").to_pylist(), table.column("text_hash").to_pylist(), table.column("place").to_numpy()

@@ -77,13 +77,35 @@ def test_multikey_quicksort():
     assert sorted(r.tobytes() for r in rows) == [rows[i].tobytes() for i in order] and sorted(order) == list(range(500))
 
 
+def test_suffix_dedup_of_periodic_and_long_texts(spark, monkeypatch):
+    """Runs of one byte and short periods: their own repeats are found within the text, in parts of bounded size."""
+    monkeypatch.setattr(suffix_dedup, "SEGMENT_BYTES", 700)
+    docs = [(0, "-" * 2500), (1, "x" + "-" * 300 + "y"), (2, "abc" * 900), (3, "q" + "bca" * 30 + "r"), (4, "".join(chr(97 + i % 23) for i in range(3000)))]
+    docs += [(5, "".join(random.Random(3).choice("abcdefgh ") for _ in range(4000))), (6, "z" + docs[0][1][:19]), (7, "abc" * 6 + "ab")]
+    got = keyed(suffix_dedup.without_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), 20, 4))
+    for d, want in repeats([(d, t.encode()) for d, t in docs], 20).items():
+        assert tuple(got[d][k] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256")) == want
+
+
+def test_long_periodic_text_stays_small():
+    """Of 4 MB of one byte a few rows go on, not one a position."""
+    s = suffix_dedup.Sampler()
+    rows = 0
+    for _, (part,) in suffix_dedup.segments([b"-" * (4 << 20)], 200):
+        assert len(part) <= suffix_dedup.SEGMENT_BYTES + 199
+        _, _, _, place, lo, hi = s.of([part])
+        p, start, runs = s.first_windows(part, place, lo, hi)
+        rows += len(p) + len(runs)
+    assert rows <= 6
+
+
 # 3: language model
 
 
 def test_elias_fano():
     rng = np.random.default_rng(0)
-    for n, u in ((0, 10), (1, 1), (1000, 1500), (20_000, 1 << 40), (3000, 3000)):
-        v = np.sort(rng.integers(0, u, n)).astype(np.uint64)
+    for n, u in ((0, 10), (1, 1), (1000, 1500), (20_000, 1 << 40), (3000, 3000), (2000, 7), (5000, 1 << 60)):
+        v = np.sort(rng.integers(0, min(u, 1 << 50), n)).astype(np.uint64)
         e = EliasFano.build(v, u)
         assert (e.get(np.arange(n)) == v).all()
         q = np.r_[rng.integers(0, u, 500).astype(np.uint64), v[:200]]
@@ -91,40 +113,61 @@ def test_elias_fano():
         assert ((e.find(q) >= 0) == np.isin(q, v)).all()
 
 
-@pytest.mark.parametrize("shard_tokens", [4_000_000, 5_000])
-def test_lm_equals_brute_force(spark, small, monkeypatch, shard_tokens):
+@pytest.mark.parametrize(("shard_tokens", "order"), [(4_000_000, 3), (5_000, 3), (5_000, 2)])
+def test_lm_equals_brute_force(spark, small, monkeypatch, shard_tokens, order):
     monkeypatch.setattr(ngram_lm, "SHARD_TOKENS", shard_tokens)
     tokens = {d: t.encode().lower().split() + [b" "] for d, t in texts_of(small)}
     held = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d in tokens}
-    one, two, context, fan = (collections.Counter() for _ in range(4))
+    one, two, three = (collections.Counter() for _ in range(3))
     for d, t in tokens.items():
         if not held[d]:
             one.update(t)
             two.update(zip([b"\n", *t], t))
-            context.update([b"\n", *t[:-1]])
-    fan.update(u for u, _ in two)
+            three.update(zip([b"\n", *t], t, t[1:]))
+    fan = collections.Counter(x[0] for x in two), collections.Counter(x[:2] for x in three)
+    context = collections.Counter(), collections.Counter()
+    for x, c in two.items():
+        context[0][x[0]] += c
+    for x, c in three.items():
+        context[1][x[:2]] += c
     n, v = sum(one.values()), len(one)
-    got = keyed(ngram_lm.scores(spark.read.parquet(f"{small}/documents.parquet")))
+
+    def chances(t):
+        out = []
+        for i, w in enumerate(t):
+            u, p = t[i - 1] if i else b"\n", (one[w] + 1) / (n + v + 1)
+            if context[0][u]:
+                p = (max(two[u, w] - 0.75, 0) + 0.75 * fan[0][u] * p) / context[0][u]
+            uv = (t[i - 2] if i > 1 else b"\n", u)
+            if order > 2 and i and context[1][uv]:
+                p = (max(three[*uv, w] - 0.75, 0) + 0.75 * fan[1][uv] * p) / context[1][uv]
+            out.append(p)
+        return out
+
+    got = keyed(ngram_lm.scores(spark.read.parquet(f"{small}/documents.parquet"), order=order))
     for d, t in tokens.items():
         base = [(one[w] + 1) / (n + v + 1) for w in t]
-        full = [(max(two[u, w] - 0.75, 0) + 0.75 * fan[u] * p) / context[u] if context[u] else p for u, w, p in zip([b"\n", *t], t, base)]
         r = got[d]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[d], len(t), sum(one[w] > 0 for w in t), n)
         assert r["base_score"] == pytest.approx(sum(map(math.log10, base)), abs=1e-6)
-        assert r["score"] == pytest.approx(sum(map(math.log10, full)), abs=0.0003 * len(t))
+        assert r["score"] == pytest.approx(sum(map(math.log10, chances(t))), abs=0.0003 * order * len(t) / 2)
     assert sum(r["score"] for r in got.values() if r["held_out"]) > sum(r["base_score"] for r in got.values() if r["held_out"])
 
 
 def test_lm_probabilities_sum_to_at_most_one(spark):
     df = spark.createDataFrame(rows_of(["a b a c", "a b", "c a b b"] * 4), SCHEMA)
     trie = ngram_lm.trained(df)
-    words = [b"a", b"b", b"c", ngram_lm.END]
-    number, count = trie.vocabulary.lookup(np.array([ngram_lm.hash_of(w) for w in words], np.uint64))
-    base = (count + 1) / (trie.vocabulary.total + trie.vocabulary.size + 1)
+    own = trie.vocabulary.lookup(np.array([ngram_lm.hash_of(w) for w in (b"a", b"b", b"c", ngram_lm.END)], np.uint64))
+    base = (own[1] + 1) / (trie.vocabulary.total + trie.vocabulary.size + 1)
     unseen = 1 / (trie.vocabulary.total + trie.vocabulary.size + 1)
-    for u in [*number[:3].tolist(), trie.width - 1]:
-        p = trie.probabilities(np.full(5, u), np.r_[number, -1], np.r_[base, unseen])
+    for u, c in [*zip(own[0][:3].tolist(), own[1][:3].tolist()), (trie.width - 1, trie.starts)]:
+        p, shard, place, rest = trie.pairs(np.full(5, u), np.r_[own[0], -1], np.full(5, c), np.r_[base, unseen])
         assert 0.998 < p.sum() <= 1 + 1e-9
+        for k in np.flatnonzero(place[:3] >= 0):  # a pair that ends in a word has followers
+            v = own[0][k]
+            shorter = trie.pairs(np.full(5, v), np.r_[own[0], -1], np.full(5, own[1][k]), np.r_[base, unseen])[0]
+            p3 = trie.thirds(np.full(5, shard[k]), np.full(5, place[k]), np.r_[own[0], -1]) + rest[k] * shorter
+            assert 0.997 < p3.sum() <= 1 + 1e-9
 
 
 def test_lm_odd(odd, none):
