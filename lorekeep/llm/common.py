@@ -112,18 +112,28 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-#: A key with more than one in so many rows is hot; so there are fewer hot keys than this.
-HOT_KEYS = 4096
+#: A key with more than one in so many rows, and with more rows than HOT_ROWS, is hot; so there are fewer hot keys than HOT_KEYS.
+HOT_KEYS, HOT_ROWS = 4096, 256
+#: Rows of a written small table that a task reads, at least, where it is shuffled anew.
+ROWS_PER_TASK = 50_000
+
+
+def fewer_parts(df: DataFrame, rows: int) -> DataFrame:
+    """A written table of so many short rows in no more partitions than it needs; many small files cost more than they hold."""
+    return df.coalesce(rows // ROWS_PER_TASK + 1)
 
 
 def skew_join(left: DataFrame, right: DataFrame, on: list[str], n_col: str, how: str = "inner") -> DataFrame:
     """left joined ("inner" or "left_semi") to right, a written table with one row a key and how many rows of left it meets in n_col.
 
-    A key that meets more than 1 / HOT_KEYS of all such rows is broadcast (there are fewer than HOT_KEYS of
-    them), so no task gathers its rows; the others are shuffled as Spark sees fit.
+    A hot key is broadcast (there are fewer than HOT_KEYS of them), so no task gathers its rows; the others
+    are shuffled as Spark sees fit.
     """
-    total = right.agg(F.sum(n_col)).first()[0] or 0
-    is_hot = F.col(n_col) * HOT_KEYS > F.lit(total)
+    total, most, rows = right.agg(F.sum(n_col), F.max(n_col), F.count("*")).first()
+    right, limit = fewer_parts(right, rows), max((total or 0) / max(HOT_KEYS, 1), HOT_ROWS)
+    if (most or 0) <= limit:
+        return left.join(right.drop(n_col), on, how)
+    is_hot = F.col(n_col) > limit
     hot, rest = F.broadcast(right.where(is_hot).drop(n_col)), right.where(~is_hot).drop(n_col)
     # hot rows leave before the shuffle
     cold = left.join(F.broadcast(right.where(is_hot).select(*on)), on, "left_anti").join(rest, on, how)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import checkpointed, skew_join
+from lorekeep.llm.common import checkpointed, fewer_parts, skew_join
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -29,11 +29,12 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a, b); root is the least node of its component. Self-links count as nodes."""
     start = edges.select("a", "b")
     nodes = start.select(F.col("a").alias("node")).union(start.select("b")).distinct()
-    now, before = checkpointed(start.where("a != b").distinct()), None
-    while True:
-        now = checkpointed(_star(_star(now, True), False))
-        r = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(r) == before:
-            break
-        before = tuple(r)
+    state = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    now = checkpointed(start.where("a != b").distinct())
+    after = state(now)
+    before = None
+    while after != before and after[0]:
+        before = after
+        now = checkpointed(_star(_star(fewer_parts(now, before[0]), True), False))
+        after = state(now)
     return nodes.join(now.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("root"))

@@ -139,8 +139,9 @@ def test_hot_lines_are_split(spark, monkeypatch):
     rng = random.Random(14)
     docs = [(i, "\n".join(["hot", "hot", "hot", *(rng.choice("abcdef") for _ in range(5))])) for i in range(50)]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
-    for hot in (0, 8, 1 << 40):
-        monkeypatch.setattr(common, "HOT_KEYS", hot)
+    for keys, rows in ((0, 0), (8, 0), (1 << 40, 0), (4096, 256)):
+        monkeypatch.setattr(common, "HOT_KEYS", keys)
+        monkeypatch.setattr(common, "HOT_ROWS", rows)
         got = {r["doc_id"]: (r["text"], *r["line_report"]) for r in line_dedup.dedup_lines(df).collect()}
         assert got == kept_runs(docs)
 
@@ -229,6 +230,54 @@ def test_empty_parts_add_no_links(spark):
     assert got == linked(docs)
 
 
+def test_crowded_runs_lose_no_link(spark):
+    """Many texts on one theme, pairs from far below to just above the join's similarity, in runs of several clusters."""
+    rng = random.Random(21)
+    base = [f"w{i}" for i in range(400)]
+    texts = []
+    for _ in range(6):
+        theme = list(base)
+        for k in rng.sample(range(400), 12):
+            theme[k] = f"t{rng.randrange(10**6)}"
+        for _ in range(25):
+            w = list(theme)
+            for k in rng.sample(range(400), rng.randrange(0, 12)):
+                w[k] = f"e{rng.randrange(10**6)}"
+            texts.append(" ".join(w))
+    docs = list(enumerate(texts))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    want = linked(docs)
+    near = sum(0.8 <= len(x & y) / len(x | y) < 0.85 for x, y in itertools.combinations([shingles(t) for t in texts], 2))
+    assert near > 200
+    for join_at, block in ((0.6, 2048), (0.95, 9), (1.1, 30)):  # where a pair is compared changes nothing
+        got = {r["doc_id"]: (r["class_id"], r["copies"], r["n_links"]) for r in jaccard_join.near_duplicates(df, join_at=join_at, block_classes=block).collect()}
+        assert got == want
+
+
+def test_small_sets_stop_at_longer_prefixes():
+    third = jaccard_join.SIMILARITY
+    for n in range(1, 30):  # by trying all sizes and overlaps
+        found = [jaccard_join.Fraction(i, n + m - i) for m in range(1, 60) for i in range(1, min(n, m) + 1) if not i == n == m and 5 * i >= 4 * (n + m - i)]
+        assert jaccard_join.least_similarity(n, third) == (min(found) if found else None)
+    own = [jaccard_join.own_depth(n, third, jaccard_join.TREES, jaccard_join.DEPTH, jaccard_join.TARGET_RECALL) for n in (3, 4, 6, 7, 8, 500)]
+    assert own == [0, 5, 6, 6, 5, 5]
+
+
+def test_small_sets_link_as_all_pairs(spark):
+    rng = random.Random(5)
+    docs = [(i, " ".join(f"w{k}" for k in range(rng.randrange(3), rng.randrange(8, 22)))) for i in range(60)]
+    got = {r["doc_id"]: (r["class_id"], r["copies"], r["n_links"]) for r in jaccard_join.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == linked(docs)
+
+
+def test_classes_of_rows_without_ids(spark):
+    a, b = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
+    df = spark.createDataFrame([(None, a), (7, a + " x"), (None, b), (None, b + " y"), (3, None), (None, "")], "doc_id long, text string")
+    r = jaccard_join.near_duplicates(df).collect()
+    assert len({(x["class_id"], x["class_hash"]) for x in r}) == 4 and sorted((x["class_id"] or -1, x["n_links"]) for x in r) == [(-1, 0), (-1, 1), (-1, 1), (3, 0), (7, 1), (7, 1)]
+    assert sum(x["keeps"] for x in r) == 4
+
+
 def test_prefixes_are_shortened_to_the_recall():
     depth = jaccard_join.prefix_depth(0.8, jaccard_join.TREES, jaccard_join.DEPTH, jaccard_join.TARGET_RECALL)
     assert 1 - (1 - 0.8**depth) ** jaccard_join.TREES >= jaccard_join.TARGET_RECALL > 1 - (1 - 0.8 ** (depth + 1)) ** jaccard_join.TREES
@@ -244,7 +293,7 @@ def test_one_of_each(spark, odd, none):
     assert jaccard_join.near_duplicates(none).count() == 0 and jaccard_join.one_of_each(none).count() == 0
 
 
-def test_components(spark):
+def test_components(spark, monkeypatch):
     rng = random.Random(6)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(30)]
     root = {x: x for e in edges for x in e}
@@ -259,6 +308,8 @@ def test_components(spark):
         root[b] = a
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in root}
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    assert {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()} == got
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
