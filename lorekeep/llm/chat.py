@@ -46,6 +46,9 @@ NAMED_OWN, NAMED_OTHER = np.log(0.97), np.log(0.015)
 #: Of each line feature: a long line, a question, list or code marks, an opening such as "you are".
 LONG_CHARS = 300
 FEATURES = np.array([[0.25, 0.08, 0.40], [0.05, 0.40, 0.10], [0.06, 0.04, 0.25], [0.40, 0.02, 0.02]])
+#: Of a row without inner markers: that it is long as a whole. Answers mostly are.
+LONG_ROW_CHARS = 450
+LONG_ROW = np.array([0.10, 0.05, 0.70])
 
 #: Scores are whole numbers, so sums don't depend on how a conversation is cut; each line's are nudged by
 #: a hash, less than a thousandth, so that equally good paths have one winner.
@@ -83,10 +86,14 @@ def emission(line: str, mark: int, named: int) -> np.ndarray:
 def observed(turn, named: str | None, text: str | None) -> list[tuple[np.ndarray, bool, int, int]]:
     """(score by role, opens a turn, marker's role, where the text begins) of each line of a row."""
     role, out = SPEAKERS.get((named or "").strip().lower(), -1), []
-    for k, line in enumerate((text or "").split("\n")):
-        mark, at = marker(line)
+    lines = (text or "").split("\n")
+    marks = [marker(line) for line in lines]
+    for k, (line, (mark, at)) in enumerate(zip(lines, marks, strict=True)):
+        score = emission(line[at:], mark, role)
+        if k == 0 and all(m < 0 for m, _ in marks[1:]):
+            score = score + np.log(LONG_ROW if len(text or "") >= LONG_ROW_CHARS else 1 - LONG_ROW)
         nudge = [zlib.crc32(f"{turn} {k} {r} {line[:200]}".encode()) & NUDGE for r in ROLES]
-        out.append((whole(emission(line[at:], mark, role)) + np.array(nudge), k == 0 or mark >= 0, mark, at))
+        out.append((whole(score) + np.array(nudge), k == 0 or mark >= 0, mark, at))
     return out
 
 

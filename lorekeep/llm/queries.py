@@ -22,7 +22,8 @@ def vocabulary_path() -> str:
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lorekeep.llm.chat import canonical_turns
 
-    return canonical_turns(table(spark, sf_dir, "conversations"))
+    # the roles are recovered from the texts alone; a test holds them against the column
+    return canonical_turns(table(spark, sf_dir, "conversations"), role_col=None)
 
 
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +54,7 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lorekeep.llm.decontam import contamination
 
-    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans", "matches")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
