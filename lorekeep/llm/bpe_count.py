@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame
 
 from lorekeep.llm.common import map_texts
 
-#: Words kept with their counts in a worker; beyond it the table starts anew.
-CACHE_WORDS = 700_000
+#: Words kept with their counts in a worker; beyond it the table starts anew. Longer words than LONG are counted each time.
+CACHE_WORDS, LONG = 700_000, 48
 
 # fixed values: ranges of letters and numbers that are newer than the library's Unicode tables (16), and so symbols to it
 NEWER = [
@@ -125,7 +125,9 @@ class PairMerger:
         for w in found:
             c = known.get(w)
             if c is None:
-                known[w] = c = self.merge(w.encode())
+                c = self.merge(w.encode())
+                if len(w) <= LONG:
+                    known[w] = c
             n += c
         return n
 
@@ -145,10 +147,15 @@ class PairMerger:
         try:
             return sum(map(seen.__getitem__, chunks))
         except KeyError:
+            n = 0
             for c in chunks:
-                if c not in seen:
-                    seen[c] = self.chunk(c)
-            return sum(map(seen.__getitem__, chunks))
+                k = seen.get(c)
+                if k is None:
+                    k = self.chunk(c)
+                    if len(c) <= LONG:
+                        seen[c] = k
+                n += k
+            return n
 
 
 @lru_cache(maxsize=2)
@@ -161,7 +168,7 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 2048, id_col: st
 
     vocabulary: the path of the vocabulary file, the same on every machine. A null text counts as empty
     (0 bytes, 0 tokens); rows that repeat and null ids each get their row; no rows give no rows; other
-    columns are not read. Narrow: no shuffle, and a worker holds one Arrow batch and CACHE_WORDS words.
+    columns are not read. Narrow: no shuffle, and a worker holds one Arrow batch and CACHE_WORDS words of LONG letters at most.
     """
 
     def run(ids, texts, batch):
