@@ -1,19 +1,21 @@
 """Mixing sources to target weights: random order within a source, prefix sums of sizes, an exact cut.
 
-Keys are hashes of the ids, so each source is in random order. The key's leading digits cut a source into
-ranges; ranges are summed first, the small table of range sums is prefix-summed, and each range then adds
-its own running sum. No range holds more than 1/4096 of a source, however large the source is.
+Keys are hashes of ids and texts, so each source is in random order. The key's leading digits cut a source
+into ranges; the small table of range sums is prefix-summed, which tells in what range of each source the
+cut lies. Only that range, some 1/4096 of the source, is put in order; all others are wholly in or out.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.llm.common import checkpointed
 
 #: Leading hexadecimal digits of the key that name a range of a source: 16 ** RANGE_DIGITS ranges.
 RANGE_DIGITS = 3
+#: Sources at most; their table, one row each, is put in order by one task and broadcast.
+MOST_SOURCES = 1_000_000
 SEED = "mix-1"
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -47,52 +49,87 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return t.select("source", "source_size", "weight", F.when(F.col("source_size") == 0, F.lit(0.0)).otherwise(target).alias("target"))
 
 
-def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_EPOCHS, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep_hash: bool = False) -> DataFrame:
+def size_of(text_col: str) -> Column:
+    return F.regexp_count(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), F.lit(WORD)).cast("long")
+
+
+def key_of(seed: str, id_col: str, text_col: str) -> Column:
+    """Random order within a source. The text's hash takes part, so rows with null or equal ids spread too."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))))
+
+
+def cuts(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_EPOCHS) -> DataFrame:
+    """rows (source, range, size) -> one row a source, for a broadcast: __source, __source_size, __target, __epochs, __rest, __cut_range, __cut_start.
+
+    A source gives `__epochs` whole epochs and the first `__rest` words of one more. These end in __cut_range,
+    which begins after __cut_start words: ranges before it are taken once more, those after it aren't. Raises
+    beyond MOST_SOURCES sources.
+    """
+    ranges = rows.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
+    ranges = checkpointed(ranges)  # at most 16 ** RANGE_DIGITS rows a source
+    sizes = checkpointed(ranges.groupBy("source").agg(F.sum("range_size").alias("source_size")))
+    n = sizes.count()
+    if n > MOST_SOURCES:
+        raise ValueError(f"{n} sources; targets are shared out among {MOST_SOURCES} at most")
+    words = F.floor("target").cast("long")
+    t = source_targets(sizes, weights, share, most).withColumn("epochs", F.when(F.col("source_size") > 0, F.expr("floor(target) div source_size")).otherwise(F.lit(0)).cast("long"))
+    t = checkpointed(t.withColumn("rest", words - F.col("epochs") * F.col("source_size")))
+    before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranges.withColumn("start", F.coalesce(F.sum("range_size").over(before), F.lit(0)))
+    at = starts.alias("r").join(F.broadcast(t.select("source", "rest")).alias("t"), F.expr("r.source <=> t.source")).where("r.start <= t.rest and t.rest < r.start + r.range_size").select(F.col("r.source").alias("at_source"), F.col("r.range").alias("cut_range"), F.col("r.start").alias("cut_start"))
+    out = t.join(at, F.expr("source <=> at_source"), "left")
+    return checkpointed(out.select(*[F.col(c).alias(f"__{c}") for c in ("source", "source_size", "target", "epochs", "rest", "cut_range", "cut_start")]))
+
+
+def _taken(rows: DataFrame, cut: DataFrame, source: str, size: str, key: str, range_: str, tie: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of all ranges but the cut ones, and of those, with the words the mix takes of each in __taken."""
+    joined = rows.join(F.broadcast(cut), F.col(f"`{source}`").eqNullSafe(F.col("__source")))
+    is_cut = F.coalesce(F.col(range_) == F.col("__cut_range"), F.lit(False))
+    more = F.when(F.col(range_) < F.col("__cut_range"), 1).otherwise(0)
+    whole = joined.where(~is_cut).withColumn("__times", F.col("__epochs") + more).withColumn("__taken", F.col(size) * F.col("__times"))
+    # one range of each source is put in order: a small part of it
+    order = Window.partitionBy("__source").orderBy(key, F.col(f"`{tie}`"), size).rowsBetween(Window.unboundedPreceding, -1)
+    so_far = F.col("__cut_start") + F.coalesce(F.sum(size).over(order), F.lit(0))
+    part = joined.where(is_cut).withColumn("__taken", F.col(size) * F.col("__epochs") + F.least(F.col(size), F.greatest(F.lit(0), F.col("__rest") - so_far)))
+    return whole, part
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_EPOCHS, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row a document: doc_id, source, size, source_size, target, taken (words the mix takes).
 
     Size: words between ASCII white space (null text: 0). A source gives floor(target / size) whole epochs
     and, of one more, the documents that come first in key order up to the rest of its budget; of the
     document on the cut the mix takes only the words that are left, so a source's taken words are its
-    target rounded down. Null source: a source of its own, last. Null or equal ids: the same key; such rows
-    are ordered by size, and rows equal in both are interchangeable. Empty texts take nothing. Empty table:
-    no rows. Other columns are not read. Only DataFrame operations; reruns agree.
+    target rounded down. Null source: a source of its own, last. Rows equal in id, text and source are
+    interchangeable. Empty texts take nothing. Empty table: no rows. Other columns are not read. Only
+    DataFrame operations; reruns agree.
     """
-    d = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), F.regexp_count(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), F.lit(WORD)).cast("long").alias("size"), *([F.xxhash64(F.col(f"`{text_col}`")).alias("text_hash")] if keep_hash else []))
-    d = d.withColumn("key", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))).withColumn("range", F.substring("key", 1, RANGE_DIGITS))
+    d = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), size_of(text_col).alias("size"), key_of(seed, id_col, text_col).alias("key")).withColumn("range", F.substring("key", 1, RANGE_DIGITS))
     d = checkpointed(d)  # a few numbers a row; the texts are read once
-    in_range = Window.partitionBy("source", "range").orderBy("key", F.col("doc_id"), "size").rowsBetween(Window.unboundedPreceding, -1)
-    before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = d.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
-    ranges = ranges.withColumn("range_start", F.coalesce(F.sum("range_size").over(before), F.lit(0)))
-    targets = source_targets(ranges.groupBy("source").agg(F.sum("range_size").alias("source_size")), weights, share, most)
-    starts = ranges.alias("r").join(targets.alias("t"), F.expr("r.source <=> t.source")).select("r.source", "r.range", "r.range_start", "t.source_size", "t.target")
-    d = d.withColumn("in_range", F.coalesce(F.sum("size").over(in_range), F.lit(0)))
-    d = d.alias("d").join(starts.alias("s"), F.expr("d.source <=> s.source and d.range = s.range")).select("d.*", "s.range_start", "s.source_size", "s.target")
-    words = F.floor("target").cast("long")
-    epochs = F.when(F.col("source_size") > 0, F.expr("floor(target) div source_size")).otherwise(F.lit(0)).cast("long")
-    rest = words - epochs * F.col("source_size")
-    cut = F.least(F.col("size"), F.greatest(F.lit(0), rest - F.col("range_start") - F.col("in_range")))
-    return d.select("doc_id", *(["text_hash"] if keep_hash else []), "source", "size", "source_size", "target", (F.col("size") * epochs + cut).cast("long").alias("taken"))
+    parts = _taken(d, cuts(d, weights, share, most), "source", "size", "key", "range", "doc_id")
+    columns = ["doc_id", "source", "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__taken").cast("long").alias("taken")]
+    return parts[0].select(*columns).union(parts[1].select(*columns))
+
 
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_EPOCHS, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", mix_col: str = "mix") -> DataFrame:
+    """The documents of the mix (taken > 0): all columns of docs, and a struct `mix_col` (size, source_size, target, taken).
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", mix_col: str = "mix", **options) -> DataFrame:
-    """The documents of the mix (taken > 0): all columns of docs, and a struct `mix_col` (size, source_size, target, taken)."""
-    names = [id_col, "__hash", source_col]
-    own = docs.withColumn("__hash", F.xxhash64(F.col(f"`{text_col}`")))
-    nth = F.row_number().over(Window.partitionBy(*[F.col(f"`{c}`") for c in names]).orderBy(F.lit(0)))
-    own = own.withColumn("__nth", nth)
-    m = mixed(docs, id_col=id_col, text_col=text_col, source_col=source_col, keep_hash=True, **options)
-    m = m.withColumn("__nth", F.row_number().over(Window.partitionBy("doc_id", "text_hash", "source").orderBy(F.desc("taken")))).where("taken > 0")
-    m = m.select(F.col("doc_id").alias("__m_id"), F.col("text_hash").alias("__m_hash"), F.col("source").alias("__m_source"), F.col("__nth").alias("__m_nth"), F.struct("size", "source_size", "target", "taken").alias("__m_mix"))
-    match = F.col(f"`{id_col}`").eqNullSafe(F.col("__m_id")) & (F.col("__hash") == F.col("__m_hash")) & F.col(f"`{source_col}`").eqNullSafe(F.col("__m_source")) & (F.col("__nth") == F.col("__m_nth"))
-    return own.join(m, match).select(*[F.col(f"`{c}`") for c in docs.columns], F.col("__m_mix").alias(mix_col))
+    As mixed(). Texts stay where they are, but for the one range of each source that the cut goes through.
+    """
+    d = docs.withColumn("__key", key_of(seed, id_col, text_col)).withColumn("__range", F.substring("__key", 1, RANGE_DIGITS)).withColumn("__size", size_of(text_col))
+    cut = cuts(d.select(F.col(f"`{source_col}`").alias("source"), F.col("__range").alias("range"), F.col("__size").alias("size")), weights, share, most)
+    whole, part = _taken(d, cut, source_col, "__size", "__key", "__range", id_col)
+    # some word, and some epoch: what taken > 0 says, without counting the words twice
+    whole = whole.where((F.col("__times") > 0) & F.coalesce(F.col(f"`{text_col}`"), F.lit("")).rlike(WORD))
+    columns = [*[F.col(f"`{c}`") for c in docs.columns], F.struct(F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__taken").cast("long").alias("taken")).alias(mix_col)]
+    return whole.select(*columns).union(part.where("__taken > 0").select(*columns))
 
 
 #: DuckDB SQL for the rows of mixed() over {docs}, a relation with doc_id, text and source.
 MIX_SQL = """
 WITH RECURSIVE d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
-         md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key
+         md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS key
   FROM {docs}),
 s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
