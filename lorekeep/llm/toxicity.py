@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import filter_texts, fold, map_texts, pieces
+from lorekeep.llm.common import checkpointed, filter_texts, fold, map_texts, pieces
 
 #: Labelled rows of each class that the fit uses at most, those of the lowest id hash. The only bounded step.
 SAMPLE_ROWS = 6000
@@ -28,6 +28,8 @@ KEPT_TERMS = 3000
 LEAST_ROWS = 3
 EPOCHS = 80
 FOLDS, HELD_OUT = 5, 0
+#: Longer words are looked up each time instead of being kept.
+WORD_BYTES_KEPT = 64
 #: Letters of the word beginnings that are terms beside the words.
 BEGINNINGS = (5, 7)
 
@@ -50,7 +52,7 @@ def word_terms(word: bytes) -> tuple[int, ...]:
 
 
 class Terms:
-    """Texts to distinct buckets; what words map to is kept, up to a bound."""
+    """Texts to distinct buckets; what words that aren't long map to is kept, up to a bound."""
 
     def __init__(self, wanted: np.ndarray | None = None):
         self.wanted = None if wanted is None else set(wanted.tolist())
@@ -60,11 +62,18 @@ class Terms:
         seen = self.seen
         if len(seen) > 300_000:
             seen.clear()
-        words = set(WORDS.findall(lower(text)))
+        words, long = set(WORDS.findall(lower(text))), []
         for w in words:
             if w not in seen:
                 t = word_terms(w)
-                seen[w] = t if self.wanted is None else tuple(x for x in t if x in self.wanted)
+                t = t if self.wanted is None else tuple(x for x in t if x in self.wanted)
+                if len(w) > WORD_BYTES_KEPT:
+                    long.append((w, t))
+                else:
+                    seen[w] = t
+        if long:
+            words.difference_update(w for w, _ in long)
+            return set(chain.from_iterable(map(seen.__getitem__, words))).union(*[t for _, t in long])
         return set(chain.from_iterable(map(seen.__getitem__, words)))
 
 
@@ -80,6 +89,17 @@ def best_cut(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
     return float(m[k] if k + 1 == len(m) else (m[k] + m[k + 1]) / 2)
 
 
+def telling_terms(terms: np.ndarray, rows: np.ndarray, toxic: np.ndarray, n: int, n_toxic: float) -> np.ndarray:
+    """The KEPT_TERMS terms at most, sorted, that tell the classes apart best; rows, toxic: how many rows, and toxic rows, hold each.
+
+    By the log-likelihood ratio statistic of a term's presence, which holds for any mix of the classes.
+    """
+    p1, p0, p = (toxic + 0.5) / (max(n_toxic, 1) + 1), (rows - toxic + 0.5) / (max(n - n_toxic, 1) + 1), (rows + 1) / (n + 2)
+    gain = np.where(rows >= LEAST_ROWS, toxic * np.log(p1 / p) + (rows - toxic) * np.log(p0 / p), -np.inf)
+    best = np.argsort(-gain, kind="stable")[:KEPT_TERMS]
+    return np.sort(terms[best[gain[best] > 3.0]])
+
+
 class FactorizationMachine:
     """Binary classifier with pairwise interactions; presence features."""
 
@@ -97,28 +117,22 @@ class FactorizationMachine:
         return bias + linear + 0.5 * ((sums**2).sum(1) - squares), sums
 
     @classmethod
-    def fit(cls, features: list[np.ndarray], y: np.ndarray, weight: np.ndarray | None = None, seed: int = 7) -> FactorizationMachine:
+    def fit(cls, features: list[np.ndarray], y: np.ndarray, weight: np.ndarray | None = None, seed: int = 7, terms: np.ndarray | None = None) -> FactorizationMachine:
         """Adam on the logistic loss with L2; the order of rows and the seed fix the result.
 
-        Loss, first bias and cut weigh the rows (None: alike). Terms are chosen by a test of each against
-        the rows' classes, which holds for any mix of them.
+        Loss, first bias and cut weigh the rows (None: alike). terms: the sorted buckets to use (None: telling_terms()).
         """
         n = len(features)
         weight = np.ones(n) if weight is None or not n else weight * (n / weight.sum())
-        sizes = np.array([len(x) for x in features], np.int64)
         if n == 0:
             return cls(np.zeros(0, np.int64), 0.0, np.zeros(0), np.zeros((0, FACTORS)))
+        sizes = np.array([len(x) for x in features], np.int64)
         every = np.concatenate(features) if sizes.sum() else np.zeros(0, np.int64)
         row_of = np.repeat(np.arange(n), sizes)
-        pos = np.bincount(every, y[row_of], 1 << BITS)
-        all_ = np.bincount(every, minlength=1 << BITS).astype(float)
-        n1 = max(y.sum(), 1)
-        n0 = max(n - y.sum(), 1)
-        p1, p0 = (pos + 0.5) / (n1 + 1), (all_ - pos + 0.5) / (n0 + 1)
-        # signed log-likelihood ratio statistic of presence
-        gain = np.where(all_ >= LEAST_ROWS, pos * np.log(p1 / ((all_ + 1) / (n + 2))) + (all_ - pos) * np.log(p0 / ((all_ + 1) / (n + 2))), -np.inf)
-        terms = np.sort(np.argsort(-gain, kind="stable")[:KEPT_TERMS])
-        terms = terms[gain[terms] > 3.0]
+        if terms is None:
+            found = np.unique(every)
+            at = np.searchsorted(found, every)
+            terms = telling_terms(found, np.bincount(at, minlength=len(found)).astype(float), np.bincount(at, y[row_of], len(found)), n, y.sum())
         at = np.searchsorted(terms, every)
         at[at == len(terms)] = 0
         keep = terms[at] == every if len(terms) else np.zeros(len(every), bool)
@@ -181,10 +195,34 @@ def fitted(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample_
         found = [np.fromiter(sorted(terms.of(t)), np.int32) for t in texts]
         return pa.record_batch([ids.cast(pa.int64()), batch.column(2).cast(pa.int32()), pa.array([x.tobytes() for x in found], pa.binary())], names=["id", "y", "terms"])
 
-    got = map_texts(rows, run, "id long, y int, terms binary", "id", "text", ["y"]).toArrow().to_pydict()
+    rows = checkpointed(map_texts(rows, run, "id long, y int, terms binary", "id", "text", ["y"]))
+
+    def counted(batches):
+        """How many rows, and toxic rows, of the task hold each bucket."""
+        n, toxic = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
+        for b in batches:
+            for y, data in zip(b.column(1).to_pylist(), b.column(2), strict=True):
+                at = np.frombuffer(data.as_py(), np.int32)
+                n[at] += 1
+                toxic[at] += y
+        some = np.flatnonzero(n)
+        yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array(n[some]), pa.array(toxic[some])], names=["term", "n", "toxic"])
+
+    # one row a bucket that enough rows hold, so 2 ** BITS at most
+    counts = rows.mapInArrow(counted, "term int, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).where(F.col("n") >= LEAST_ROWS).orderBy("term").toArrow()
+    size = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
+    kept = telling_terms(*[counts.column(c).to_numpy().astype(float if c != "term" else np.int64) for c in ("term", "n", "toxic")], *size)
+
+    def cut(batches):
+        for b in batches:
+            found = [x[np.isin(x, kept)] for x in (np.frombuffer(data.as_py(), np.int32) for data in b.column(2))]
+            yield pa.record_batch([b.column(0), b.column(1), pa.array([x.tobytes() for x in found], pa.binary())], names=["id", "y", "terms"])
+
+    # only kept terms of the sampled rows come to the driver
+    got = rows.mapInArrow(cut, "id long, y int, terms binary").toArrow().to_pydict()
     order = sorted(range(len(got["id"])), key=lambda i: (got["id"][i], got["terms"][i]))
     y = np.array([got["y"][i] for i in order], float)
-    return FactorizationMachine.fit([np.frombuffer(got["terms"][i], np.int32).astype(np.int64) for i in order], y, np.where(y == 1, weight[1], weight[0]))
+    return FactorizationMachine.fit([np.frombuffer(got["terms"][i], np.int32).astype(np.int64) for i in order], y, np.where(y == 1, weight[1], weight[0]), terms=kept)
 
 
 def scorer(docs: DataFrame, machine: FactorizationMachine):
