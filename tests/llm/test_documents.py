@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lorekeep.llm import decontam, media, mixing, ngram_lm, suffix_dedup, toxicity
+from lorekeep.llm import decontam, jaccard_join, media, mixing, ngram_lm, suffix_dedup, toxicity
 from lorekeep.llm.bpe_count import PairMerger, token_counts
 from lorekeep.llm.elias_fano import EliasFano
 from lorekeep.llm.queries import vocabulary_path
@@ -198,6 +198,25 @@ def test_mixing_equals_sql(spark, odd, none, small):
         assert sorted(map(repr, got)) == sorted(map(repr, (tuple(x) for x in mixing.mixed(df.repartition(5)).collect())))
 
 
+def test_both_forms_of_the_mix_agree(spark, odd, small):
+    for df in (odd, spark.read.parquet(f"{small}/documents.parquet")):
+        want = [tuple(r) for r in mixing.mixed(df).where("taken > 0").collect()]
+        got = [tuple(r) for r in mixing.mixed_documents(df).select("doc_id", "source", "mix.*").collect()]
+        assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+def test_rows_without_ids_are_spread(spark):
+    df = spark.createDataFrame([(None, f"{i} words of a text", "en", "s", 1) for i in range(300)], SCHEMA)
+    keys = df.select(mixing.key_of(mixing.SEED, "doc_id", "text").alias("key")).distinct()
+    assert keys.count() == 300 and mixing.mixed(df).agg(F.sum("taken")).first()[0] == 1500 * 1.5
+
+
+def test_too_many_sources_raise(spark, small, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 2)
+    with pytest.raises(ValueError):
+        mixing.mixed(spark.read.parquet(f"{small}/documents.parquet"))
+
+
 def test_mixing_water_level(spark):
     """Brute force: share by weight, cap, share the excess again."""
     sizes = {"a": 10, "b": 1000, "c": 300, "d": 5, "e": 80, None: 60, "f": 0}
@@ -274,9 +293,47 @@ def test_contamination_short_items_spans_and_odd(spark, odd, none):
     assert decontam.contamination(odd, b.limit(0)).where("n_hit > 0").isEmpty()
 
 
+def test_longest_matches_equal_brute_force(spark):
+    rng = random.Random(17)
+    words = [f"w{i}" for i in range(60)]
+    bench = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(3, 60)))) for i in range(12)] + [(50, "x " * 40), (None, "only here " * 8)]
+    docs = []
+    for i in range(25):
+        text = [rng.choice(words) for _ in range(30)]
+        w = rng.choice(bench)[1].split()
+        a = rng.randrange(len(w))
+        docs.append((i, " ".join([*text[:10], *w[a : a + 30], *text[10:], *w[:20]])))
+    docs.append((90, "x " * 500))
+    got = keyed(decontam.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"), window=4, block_bytes=300))
+    assert sum(len(r["matches"]) for r in got.values()) > 25 and (got[90]["matches"][0]["length"], got[90]["n_hit"]) == (40, 500)
+    texts = {None if i is None else str(i): t.split() for i, t in bench}
+    for d, t in docs:
+        w = t.split()
+        for m in got[d]["matches"]:
+            item = texts[m["item"]]
+            assert item[m["item_word"] : m["item_word"] + m["length"]] == w[m["word"] : m["word"] + m["length"]]
+            runs = lambda x, n: {tuple(x[k : k + n]) for k in range(len(x) - n + 1)}
+            assert not runs(item, m["length"] + 1) & runs(w, m["length"] + 1)
+
+
 # 7: token counts
 
 
+def test_long_unbroken_texts_are_not_kept(spark):
+    """Texts without spaces make each document one word: workers keep none of them."""
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abcdefgh漢字") for _ in range(300)) for _ in range(200)]
+    merger, terms, shingler, words = PairMerger(vocabulary_path()), toxicity.Terms(), jaccard_join.Shingler(), ngram_lm.Words()
+    for t in texts:
+        merger.count(t)
+        terms.of(t.encode())
+        shingler.of(t.encode())
+    words.numbers([b"x" * (1 << 20)] * 40 + [b"%d" % i + b"x" * (1 << 20) for i in range(40)])
+    words.trim()
+    held = sum(len(k.encode() if isinstance(k, str) else k) for d in (merger.seen, terms.seen, shingler.seen, words.number) for k in d)
+    assert held == 0 and sum(map(len, merger.known)) < 2000
+
+
 def test_token_counts_equal_the_library(spark, small, odd, none):
     from tokenizers import Tokenizer
 
@@ -303,6 +360,23 @@ def test_machine_learns_what_pairs_mean():
     assert both > 0.9 and single.max() < 0.2
 
 
+def test_scores_equal_the_sum_over_pairs(spark, small):
+    """The query's scores against w0 + sum of weights + every pair's product, term by term, from the fitted machine."""
+    d, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    m = toxicity.fitted(d, labels)
+    got = keyed(toxicity.toxicity(d, labels))
+    place = {t: k for k, t in enumerate(m.terms.tolist())}
+    for i, t in texts_of(small):
+        low = t.encode().decode("utf-8", "replace").lower().encode()
+        found = sorted({place[x] for w in set(toxicity.WORDS.findall(low)) for x in toxicity.word_terms(w) if x in place})
+        margin = m.bias + sum(m.weights[k] for k in found)
+        for a, x in enumerate(found):
+            for y in found[a + 1 :]:
+                margin += float(m.factors[x] @ m.factors[y])
+        margin = max(-30, min(30, margin))
+        assert got[i]["score"] == pytest.approx(1 / (1 + math.exp(-margin)), abs=1e-9)
+
+
 def test_toxicity_held_out_accuracy(spark, small):
     sf = small.replace("0.001", "0.01")
     d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
