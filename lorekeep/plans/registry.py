@@ -11,12 +11,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions import cursor
-from lorekeep.functions.text import PRIORITY_BANDS, band, contains_any, rank_of, severity_colour, shortened
+from lorekeep.functions.text import PRIORITY_BANDS, band, contains_any, has_text, has_words, rank_of, severity_colour, shortened
 from lorekeep.operators import dml
 from lorekeep.operators.lookup import active_or_first, facet, first_flagged, lookup
 from lorekeep.operators.nest import with_child_count, with_children, with_optional_struct, with_parent
 from lorekeep.operators.paging import equal_filters, keyset_page
-from lorekeep.operators.report import grouped_lines
+from lorekeep.operators.report import grouped_lines, grouped_section
 from lorekeep.operators.search import Searched, search_union
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -160,22 +160,10 @@ def four_child_lists(spark, sf_dir):
     return n.select("n_nationkey", *[F.array_join(x, ",").alias(x) for x in ("customers", "suppliers", "nation_orders")], "n_items")
 
 
-@query("""SELECT 'Document' AS "Type", 0 AS source_order, doc_id AS hit_key FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 200) WHERE contains(lower(text), 'er')
-UNION ALL SELECT 'Page', 1, page_id FROM (SELECT * FROM pages ORDER BY page_id LIMIT 200) WHERE contains(lower(url), 'er')
-UNION ALL SELECT 'Part', 2, p_partkey FROM (SELECT * FROM part ORDER BY p_partkey LIMIT 200) WHERE contains(lower(p_name), 'er') OR contains(lower(p_type), 'er')""")
-def search_union_of_three(spark, sf_dir):
-    parts = [
-        Searched("Document", _t(spark, sf_dir, "documents"), ["text"], [], "doc_id"),
-        Searched("Page", _t(spark, sf_dir, "pages"), ["url"], [], "page_id"),
-        Searched("Part", _t(spark, sf_dir, "part"), ["p_name", "p_type"], [], "p_partkey"),
-    ]
-    return search_union(parts, "er", 200)
-
-
 @query("""SELECT 'Document' AS "Type", 0 AS source_order, doc_id AS hit_key FROM documents WHERE contains(lower(text), 'er')
 UNION ALL SELECT 'Page', 1, page_id FROM pages WHERE contains(lower(url), 'er')
 UNION ALL SELECT 'Part', 2, p_partkey FROM part WHERE contains(lower(p_name), 'er') OR contains(lower(p_type), 'er')""")
-def search_union_whole(spark, sf_dir):
+def search_union_of_three(spark, sf_dir):
     parts = [
         Searched("Document", _t(spark, sf_dir, "documents"), ["text"], [], "doc_id"),
         Searched("Page", _t(spark, sf_dir, "pages"), ["url"], [], "page_id"),
@@ -184,6 +172,38 @@ def search_union_whole(spark, sf_dir):
     return search_union(parts, "er", None)
 
 
+@query("""SELECT o_orderkey, coalesce(c_name, '') AS customer FROM (SELECT * FROM orders WHERE o_orderstatus = 'O' AND o_orderkey > 200 ORDER BY o_orderkey LIMIT 30) LEFT JOIN customer ON c_custkey = o_custkey AND c_nationkey < 12""")
+def limit_before_join(spark, sf_dir):
+    """A page, then names: rows whose parent is missing stay, and the limit holds."""
+    page = keyset_page(_t(spark, sf_dir, "orders"), "o_orderkey", 200, 30, equal_filters(o_orderstatus="O"))
+    named = with_parent(page, _t(spark, sf_dir, "customer").where("c_nationkey < 12"), "o_custkey", {"customer": "c_name"}, "c_custkey")
+    return named.select("o_orderkey", F.coalesce("customer", F.lit("")).alias("customer"))
+
+
+# the expected values of the next three are written out: they follow from the rules alone
+
+HEADINGS = "SELECT * FROM VALUES (1, 'Zed'), (2, 'api'), (3, 'Ärger'), (4, 'API'), (5, 'b'), (6, 'Zed') AS t(id, name)"
+
+
+@query("""SELECT '## Kinds' || chr(10) || chr(10) || string_agg('### ' || name || chr(10) || body || chr(10), '' ORDER BY place) AS text
+FROM (VALUES (1, 'api', '- 2' || chr(10)), (2, 'API', '- 4' || chr(10)), (3, 'Ärger', '- 3' || chr(10)), (4, 'b', '- 5' || chr(10)), (5, 'Zed', '- 1' || chr(10) || '- 6' || chr(10))) AS v(place, name, body)""")
+def report_headings(spark, sf_dir):
+    line = F.concat(F.lit("- "), F.col("id").cast("string"), F.lit("\n"))
+    return grouped_section(spark.sql(HEADINGS), "## Kinds", "name", line, [F.col("id")])
+
+
+@query("""SELECT * FROM (VALUES ('MTA=', 10), ('LTU=', -5), ('', -99), ('MTA', -99), ('%%%', -99), ('OTk5OTk5OTk5OTk5', -99), ('YWJj', -99)) AS v(cursor, back)""")
+def bad_cursors(spark, sf_dir):
+    d = spark.createDataFrame([(x,) for x in ("MTA=", "LTU=", "", "MTA", "%%%", "OTk5OTk5OTk5OTk5", "YWJj")], "cursor string")
+    return d.withColumn("back", F.coalesce(cursor.decoded(F.col("cursor")), F.lit(-99)))
+
+
+@query("""SELECT * FROM (VALUES (1, false, false), (2, false, false), (3, true, false), (4, true, false), (5, true, true)) AS v(id, has_text, has_words)""")
+def blank_tests(spark, sf_dir):
+    d = spark.createDataFrame([(1, None), (2, ""), (3, "  "), (4, "\t\n"), (5, " x ")], "id int, text string")
+    return d.select("id", has_text(F.col("text")).alias("has_text"), has_words(F.col("text")).alias("has_words"))
+
+
 @query("SELECT needle, count(*) AS n FROM documents, (VALUES ('die'), ('SS')) AS v(needle) WHERE contains(lower(text), lower(needle)) GROUP BY needle")
 def search_case(spark, sf_dir):
     d = _t(spark, sf_dir, "documents")
@@ -196,29 +216,15 @@ def search_empty_needle(spark, sf_dir):
     return _t(spark, sf_dir, "documents").where(contains_any([F.col("text")], "")).agg(F.count("*").alias("n"))
 
 
-@query("""SELECT event_type AS "group", string_agg('- ' || user_id || '/' || event_id || chr(10), '' ORDER BY user_id DESC, event_id) AS body
-FROM (SELECT * FROM events ORDER BY event_id LIMIT 1000) GROUP BY event_type""")
-def report_grouped(spark, sf_dir):
-    rows = keyset_page(_t(spark, sf_dir, "events"), "event_id", None, 1000)
-    line = F.concat(F.lit("- "), F.col("user_id").cast("string"), F.lit("/"), F.col("event_id").cast("string"), F.lit("\n"))
-    return grouped_lines(rows, "event_type", line, [-F.col("user_id"), F.col("event_id")])
-
-
-@query("""SELECT event_type AS "group", coalesce(string_agg(event_id || chr(10), '' ORDER BY event_id) FILTER (WHERE user_id % 7 = 0), '') AS body FROM (SELECT * FROM events ORDER BY event_id LIMIT 1000) GROUP BY event_type""")
-def report_kept_rows(spark, sf_dir):
-    rows = keyset_page(_t(spark, sf_dir, "events"), "event_id", None, 1000)
-    return grouped_lines(rows, "event_type", F.concat(F.col("event_id").cast("string"), F.lit("\n")), [F.col("event_id")], F.col("user_id") % 7 == 0)
-
-
 @query("""SELECT event_type AS "group", string_agg('- ' || user_id || '/' || event_id || chr(10), '' ORDER BY user_id DESC, event_id) AS body
 FROM events GROUP BY event_type""")
-def report_grouped_whole(spark, sf_dir):
+def report_grouped(spark, sf_dir):
     line = F.concat(F.lit("- "), F.col("user_id").cast("string"), F.lit("/"), F.col("event_id").cast("string"), F.lit("\n"))
     return grouped_lines(_t(spark, sf_dir, "events"), "event_type", line, [-F.col("user_id"), F.col("event_id")])
 
 
 @query("""SELECT event_type AS "group", coalesce(string_agg(event_id || chr(10), '' ORDER BY event_id) FILTER (WHERE user_id % 7 = 0), '') AS body FROM events GROUP BY event_type""")
-def report_kept_rows_whole(spark, sf_dir):
+def report_kept_rows(spark, sf_dir):
     return grouped_lines(_t(spark, sf_dir, "events"), "event_type", F.concat(F.col("event_id").cast("string"), F.lit("\n")), [F.col("event_id")], F.col("user_id") % 7 == 0)
 
 
