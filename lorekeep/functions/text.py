@@ -71,8 +71,3 @@ def parse_name(value: str, names: dict[str, int]) -> str:
         if n.lower() == value.strip().lower():
             return n
     raise ValueError(f"{value!r} is none of {', '.join(names)}")
-
-
-def positive_or_null(c: Column) -> Column:
-    """A reference of 0 or less means none."""
-    return F.when(c > 0, c)

@@ -6,7 +6,9 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
+from lorekeep.functions.text import is_blank
 from lorekeep.schemas import REFERENCES, SCHEMAS, UNIQUE
 
 Tables = dict[str, DataFrame]
@@ -20,8 +22,9 @@ class ReferenceViolation(ValueError):
     """A reference to a row that isn't there, or a restricted delete."""
 
 
-def next_id(table: DataFrame, key: str = "Id") -> int:
-    return table.agg((F.coalesce(F.max(key), F.lit(0)) + 1).alias("n")).first()["n"]
+def next_id(table: DataFrame, key: str = "Id", last: int = 0) -> int:
+    """One above the highest key there is, and above `last`, the highest there ever was."""
+    return max(last, table.agg(F.coalesce(F.max(key), F.lit(0)).alias("n")).first()["n"]) + 1
 
 
 def insert(table: DataFrame, rows: DataFrame) -> DataFrame:
@@ -83,11 +86,23 @@ def check_references(name: str, values: dict, tables: Tables) -> None:
             raise ReferenceViolation(f"{name}.{r.column}: {r.parent} has no row {values[r.column]}")
 
 
-def create_row(spark: SparkSession, tables: Tables, name: str, values: dict, now: datetime) -> tuple[Tables, int]:
-    """(changed tables, the new Id). CreatedAt is set where the table has one."""
+def check_values(name: str, values: dict) -> None:
+    """What forms ask for, beyond what tables do: required texts, lengths aside; a priority from 0 to 10; a dependency between two layers."""
+    for f in SCHEMAS[name]:
+        if f.name in values and not f.nullable and isinstance(f.dataType, StringType) and is_blank(values[f.name]):
+            raise ValueError(f"{f.name} is required")
+    if not 0 <= values.get("Priority", 0) <= 10:
+        raise ValueError("Priority goes from 0 to 10")
+    ends = [values[c] for c in ("SourceLayerId", "TargetLayerId") if c in values]
+    if any(x <= 0 for x in ends) or len(ends) != len(set(ends)):
+        raise ValueError("a dependency needs two different layers")
+
+
+def create_row(spark: SparkSession, tables: Tables, name: str, values: dict, now: datetime, last: int = 0) -> tuple[Tables, int]:
+    """(changed tables, the new Id, above `last`). CreatedAt is set where the table has one."""
     check_references(name, values, tables)
     schema = SCHEMAS[name]
-    row = {f.name: values.get(f.name) for f in schema} | {"Id": next_id(tables[name])}
+    row = {f.name: values.get(f.name) for f in schema} | {"Id": next_id(tables[name], last=last)}
     if "CreatedAt" in row:
         row["CreatedAt"] = now
     after = insert(tables[name], spark.createDataFrame([tuple(row[f.name] for f in schema)], schema))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.functions.text import has_text, has_words, is_blank, rank_of
+from lorekeep.functions.text import has_text, has_words, rank_of
 from lorekeep.operators.lookup import facet, first_flagged, lookup
 from lorekeep.operators.nest import with_child_count, with_children, with_optional_struct, with_parent
 from lorekeep.operators.paging import PAGE_SIZE, equal_filters, keyset_page
@@ -224,10 +224,3 @@ def architecture_context(t: Tables, cap: int | None = CAP) -> DataFrame:
 def _titled(title: str, end: str = "") -> Column:
     """The text with a title before it and an end after it, or nothing if it is empty."""
     return F.when(F.col("text") != "", F.concat(F.lit(title), "text", F.lit(end))).otherwise("").alias("text")
-
-
-def filtered(df: DataFrame, **wanted: str | None) -> DataFrame:
-    """A view's conjunctive equality filter; blank values filter nothing."""
-    for f in equal_filters(**{k: v for k, v in wanted.items() if not is_blank(v)}):
-        df = df.where(f)
-    return df

@@ -56,8 +56,9 @@ def _link(value: int | None) -> int | None:
 
 
 class Tools:
-    def __init__(self, store: Store, clock: Callable[[], datetime] | None = None, cap: int | None = plan.CAP):
-        self.store, self.cap = store, cap
+    def __init__(self, store: Store, clock: Callable[[], datetime] | None = None, cap: int | None = plan.CAP, validate: bool = False):
+        """validate: writes are held to what forms ask for as well (dml.check_values)."""
+        self.store, self.cap, self.validate = store, cap, validate
         self.clock = clock or (lambda: datetime.now(UTC).replace(tzinfo=None))
 
     def call(self, name: str, /, **arguments) -> str:
@@ -75,23 +76,27 @@ class Tools:
         return _json(_ranked(found[0])) if found else missing
 
     def _create(self, table: str, detail, values: dict) -> str:
-        changed, key = dml.create_row(self.store.spark, self.t, table, values, self.clock())
-        self.store.commit(changed)
+        if self.validate:
+            dml.check_values(table, values)
+        key = self.store.write(lambda t, last: dml.create_row(self.store.spark, t, table, values, self.clock(), last.get(table, 0)))
         return self._detail(detail(self.t, key), "")
 
     def _update(self, table: str, what: str, detail, key: int, values: dict) -> str:
-        changed = dml.update_row(self.t, table, key, values)
-        if changed is None:
-            return f"{what} with id {key} not found"
-        self.store.commit(changed)
-        return self._detail(detail(self.t, key), "")
+        if self.validate:
+            dml.check_values(table, values)
+
+        def change(t, _):
+            changed = dml.update_row(t, table, key, values)
+            return changed, changed is not None
+
+        return self._detail(detail(self.t, key), "") if self.store.write(change) else f"{what} with id {key} not found"
 
     def _delete(self, table: str, what: str, key: int) -> str:
-        changed = dml.delete_row(self.t, table, key)
-        if changed is None:
-            return f"{what} with id {key} not found"
-        self.store.commit(changed)
-        return f"{what} {key} deleted"
+        def change(t, _):
+            changed = dml.delete_row(t, table, key)
+            return changed, changed is not None
+
+        return f"{what} {key} deleted" if self.store.write(change) else f"{what} with id {key} not found"
 
     # context
 
@@ -192,11 +197,13 @@ class Tools:
 
     @tool("set_active_architecture_pattern", "Make one pattern active and all others not")
     def set_active_architecture_pattern(self, id: int) -> str:
-        patterns = self.t["architecture_patterns"]
-        if plan.lookup(patterns, "Id", id).isEmpty():
-            return f"Pattern with id {id} not found"
-        self.store.commit({"architecture_patterns": dml.set_exclusive(patterns, "IsActive", "Id", id)})
-        return f"Pattern {id} set as active"
+        def change(t, _):
+            patterns = t["architecture_patterns"]
+            if plan.lookup(patterns, "Id", id).isEmpty():
+                return None, False
+            return {"architecture_patterns": dml.set_exclusive(patterns, "IsActive", "Id", id)}, True
+
+        return f"Pattern {id} set as active" if self.store.write(change) else f"Pattern with id {id} not found"
 
     @tool("delete_architecture_pattern", "Delete a pattern with its layers")
     def delete_architecture_pattern(self, id: int) -> str:

@@ -10,7 +10,7 @@ from lorekeep.operators import dml
 from lorekeep.plans import catalog as plan
 from lorekeep.schemas import REFERENCES, SCHEMAS
 from lorekeep.sources.endpoint import listed, reply, server
-from lorekeep.sources.store import Store, read_sqlite, write_text
+from lorekeep.sources.store import Conflict, Store, read_sqlite, write_text
 from lorekeep.streaming.delivery import delivered
 from lorekeep.tools import TOOLS, Tools
 
@@ -225,22 +225,123 @@ def test_store_text_sink_delivery_and_sqlite(spark, tmp_path, tools):
     assert got["coding_patterns"].first()["CreatedAt"] == datetime(2024, 1, 2, 3, 4, 5, 123456) and got["code_templates"].isEmpty()
 
 
+def test_ids_never_come_back(tools):
+    add = lambda: json.loads(tools.call("add_design_preference", category="c", preference="p"))["Id"]
+    first = add()
+    assert tools.call("delete_design_preference", id=first) == f"Preference {first} deleted"
+    assert add() == first + 1
+
+
+def test_concurrent_writers_lose_nothing(spark, tmp_path, t):
+    """Threads on one store, and a second store on the same folder: each write is kept, under its own id."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    root = str(tmp_path / "shared")
+    Store(spark, root).commit(t)
+    writers = [Tools(Store(spark, root), clock=lambda: NOW) for _ in range(2)]
+    with ThreadPoolExecutor(4) as pool:
+        answers = list(pool.map(lambda k: json.loads(writers[k % 2].call("add_coding_pattern", name=f"p{k}", description="d", category="c")), range(6)))
+    assert sorted(x["Id"] for x in answers) == list(range(5, 11))
+    rows = Store(spark, root).table("coding_patterns").collect()
+    assert {r["Name"] for r in rows if r["Id"] > 4} == {f"p{k}" for k in range(6)}
+    state = writers[0].store.state()
+    with pytest.raises(Conflict):
+        writers[1].store.commit({"coding_patterns": t["coding_patterns"]}, type(state)(state.number - 1, state.folders, state.last_ids))
+
+
+def test_optional_validation(spark, tmp_path, t):
+    store = Store(spark, str(tmp_path / "checked"))
+    store.commit(t)
+    strict = Tools(store, clock=lambda: NOW, validate=True)
+    for name, arguments in [
+        ("add_coding_pattern", {"name": " ", "description": "d", "category": "c"}),
+        ("add_design_preference", {"category": "c", "preference": "p", "priority": 11}),
+        ("add_layer_dependency", {"source_layer_id": 4, "target_layer_id": 4, "is_allowed": True}),
+        ("add_layer_dependency", {"source_layer_id": 0, "target_layer_id": 4, "is_allowed": True}),
+    ]:
+        with pytest.raises(ValueError):
+            strict.call(name, **arguments)
+    assert json.loads(strict.call("add_coding_pattern", name="n", description="d", category="c"))["Example"] is None
+
+
+def test_tools_of_preferences_rules_and_patterns(tools):
+    call = lambda tool, /, **a: json.loads(tools.call(tool, **a))
+    assert call("update_design_preference", id=1, category="a", preference="b", rationale=None, priority=9) == {"Id": 1, "Category": "a", "Preference": "b", "Rationale": None, "Priority": 9, "CreatedAt": NOW.isoformat()}
+    assert tools.call("update_design_preference", id=99, category="a", preference="b", rationale=None, priority=9) == "Preference with id 99 not found"
+    changed = call("update_avoidance_rule", id=1, name="n", description="d", category="c", severity="never", preferred_alternative_id=2)
+    assert (changed["Severity"], changed["PreferredAlternative"]["Id"]) == (2, 2)
+    assert tools.call("delete_design_preference", id=2) == "Preference 2 deleted"
+    assert json.loads(tools.call("get_avoidance_rules"))[0]["PreferredAlternative"] is None
+    assert tools.call("delete_avoidance_rule", id=1) == "Avoidance rule 1 deleted" and tools.call("delete_avoidance_rule", id=1) == "Avoidance rule with id 1 not found"
+    assert [x["Id"] for x in call("get_architecture_pattern", id=2)["Layers"]] == [2, 1, 4]
+    assert tools.call("get_architecture_pattern", id=9) == "Pattern with id 9 not found"
+    assert tools.call("delete_architecture_pattern", id=3) == "Pattern 3 deleted" and tools.call("delete_architecture_pattern", id=3) == "Pattern with id 3 not found"
+
+
+def test_tools_of_layers_dependencies_templates_and_conventions(tools):
+    call = lambda tool, /, **a: json.loads(tools.call(tool, **a))
+    added = call("add_architecture_layer", pattern_id=2, name="New", description="d", responsibility="r", contains=None, order=5)
+    assert (added["Id"], added["Order"]) == (5, 5)
+    edge = call("add_layer_dependency", source_layer_id=5, target_layer_id=1, is_allowed=False, rationale="r")
+    assert edge["Id"] == 5 and 5 in [x["Id"] for x in call("get_layer_dependencies", pattern_id=2)]
+    assert tools.call("delete_layer_dependency", id=5) == "Dependency 5 deleted" and 5 not in [x["Id"] for x in call("get_layer_dependencies", pattern_id=2)]
+    assert tools.call("delete_architecture_layer", id=5) == "Layer 5 deleted" and tools.call("delete_architecture_layer", id=5) == "Layer with id 5 not found"
+    assert [x["Id"] for x in call("get_code_templates_by_category", category="DTO")] == [1, 2]
+    assert tools.call("delete_code_template", id=1) == "Template 1 deleted" and [x["Id"] for x in call("get_code_templates_by_category", category="DTO")] == [2]
+    assert call("get_naming_convention", id=1)["Pattern"] == "I{Name}" and tools.call("get_naming_convention", id=7) == "Convention with id 7 not found"
+    assert [x["Id"] for x in call("get_naming_conventions_by_context", context="file")] == [2]
+    made = call("add_naming_convention", context="test", pattern="T{Name}", example="TX", layer_id=0)
+    assert (made["Id"], made["LayerId"]) == (3, None)
+    assert tools.call("delete_naming_convention", id=3) == "Convention 3 deleted" and tools.call("delete_naming_convention", id=3) == "Convention with id 3 not found"
+
+
+def test_handshake_and_errors(tools):
+    ask = lambda **r: reply(tools, {"jsonrpc": "2.0", "id": 1} | r)
+    begun = ask(method="initialize", params={"protocolVersion": "2024-11-05", "capabilities": {}})["result"]
+    assert begun["protocolVersion"] == "2024-11-05" and "tools" in begun["capabilities"]
+    assert ask(method="initialize", params={"protocolVersion": "1999-01-01"})["result"]["protocolVersion"] != "1999-01-01"
+    assert reply(tools, {"jsonrpc": "2.0", "method": "notifications/initialized"}) is None and ask(method="ping")["result"] == {}
+    assert [ask(method=m, params=p)["error"]["code"] for m, p in (("none", {}), ("tools/call", {"name": "none"}), ("tools/call", {"name": "add_avoidance_rule", "arguments": {"name": "n", "description": "d", "category": "c", "severity": "x"}}))] == [-32601, -32602, -32000]
+    assert reply(tools, [])["error"]["code"] == -32600
+
+    class Broken:
+        def call(self, name):
+            raise RuntimeError("gone")
+
+    assert reply(Broken(), {"id": 1, "method": "tools/call", "params": {"name": "x"}})["error"]["code"] == -32603
+
+
 def test_endpoint_answers_over_http(tools):
     import threading
+    import urllib.error
     import urllib.request
 
     http = server(tools, port=0)
     threading.Thread(target=http.serve_forever, daemon=True).start()
     try:
         base = f"http://127.0.0.1:{http.server_address[1]}"
-        events = urllib.request.urlopen(f"{base}/sse", timeout=30)
-        assert events.readline() == b"event: endpoint\n"
-        ask = urllib.request.Request(base, json.dumps({"id": 7, "method": "tools/call", "params": {"name": "get_code_template", "arguments": {"id": 9}}}).encode())
-        answer = json.loads(urllib.request.urlopen(ask, timeout=60).read())
-        assert answer["id"] == 7 and answer["result"]["content"][0]["text"] == "Template with id 9 not found"
-        for line in iter(events.readline, b""):
-            if line.startswith(b"data: {"):
-                assert json.loads(line[6:]) == answer
-                break
+
+        def post(path, body):
+            return urllib.request.urlopen(urllib.request.Request(base + path, body if isinstance(body, bytes) else json.dumps(body).encode()), timeout=60)
+
+        def session():
+            events = urllib.request.urlopen(f"{base}/sse", timeout=60)
+            assert events.readline() == b"event: endpoint\n"
+            return events, events.readline()[6:].strip().decode()
+
+        def message(events):
+            return next(json.loads(line[6:]) for line in iter(events.readline, b"") if line.startswith(b"data: {"))
+
+        (one, to_one), (two, to_two) = session(), session()
+        ask = {"method": "tools/call", "params": {"name": "get_code_template", "arguments": {"id": 9}}}
+        assert post(to_one, ask | {"id": 7}).status == 202 and post(to_two, ask | {"id": 8}).status == 202
+        # each session hears its own replies alone
+        assert (message(one)["id"], message(two)["id"]) == (7, 8)
+        answer = json.loads(post("/", ask | {"id": 9}).read())
+        assert answer["id"] == 9 and answer["result"]["content"][0]["text"] == "Template with id 9 not found"
+        assert post("/", {"method": "notifications/initialized"}).status == 202
+        assert json.loads(post("/", b"{").read())["error"]["code"] == -32700
+        with pytest.raises(urllib.error.HTTPError):
+            post("/message?sessionId=none", ask)
     finally:
         http.shutdown()
