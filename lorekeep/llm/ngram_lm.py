@@ -15,7 +15,6 @@ met leaves the shorter one's probability.
 from __future__ import annotations
 
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,25 +34,49 @@ QUANTA = 4096
 #: What the quantised values stand for.
 LEVELS = 10.0 ** (-np.arange(1 << 16) / QUANTA)
 #: Training tokens for each shard of levels 2 and 3; a context with more than a quarter of that is spread by its followers.
-SHARD_TOKENS = 4_000_000
+SHARD_TOKENS = 1_500_000
 #: Counted entries that a task gathers before it hands them on.
 HELD_ENTRIES = 1_500_000
-#: Words, and bytes of words, that a worker knows at most before it starts anew.
-WORDS_HELD, WORD_BYTES_HELD = 400_000, 32 << 20
-
-#: No word holds white space, so these stand for the start and the end of a text.
-START, END = b"\n", b" "
+#: Longer words are hashed one by one; bytes of words that are hashed together.
+LONG_WORD, HASHED_BYTES = 1024, 4 << 20
+
+_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+#: A value of each byte, the same for A-Z as for a-z, and the powers of a base: a word's hash is a polynomial in it.
+_VALUES = mix64(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
+_VALUES[65:91] = _VALUES[97:123]
+_POWERS = np.cumprod(np.full(LONG_WORD, 0x5851F42D4C957F2D, U64), dtype=U64)
+#: What stands for the end of a text.
+END = 0xE2D0F7E87E15EA5D
+
+
+def token_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of each text, between ASCII white space and with A-Z lower-cased, and then its end; and where the ends are."""
+    data = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
+    space = _SPACE[data]
+    border = np.flatnonzero(np.diff(space.view(np.int8), prepend=1))
+    starts, sizes = border[::2], border[1::2] - border[::2]
+    words = np.empty(len(starts), U64)
+    for k in np.flatnonzero(sizes > LONG_WORD).tolist():
+        words[k] = xxhash.xxh3_64_intdigest(data[starts[k] : starts[k] + sizes[k]].tobytes().lower())
+    short = np.flatnonzero(sizes <= LONG_WORD)
+    done = np.cumsum(sizes[short])
+    for part in np.split(short, np.searchsorted(done, np.arange(HASHED_BYTES, done[-1] if len(done) else 0, HASHED_BYTES))):
+        if len(part):
+            n = sizes[part]
+            first = np.cumsum(n) - n
+            at = np.arange(first[-1] + n[-1]) - np.repeat(first, n)
+            words[part] = mix64(np.add.reduceat(_VALUES[data[at + np.repeat(starts[part], n)]] * _POWERS[at], first) + n.astype(U64))
+    # an end after the words of each text
+    texts_at = np.cumsum([len(t) + 1 for t in texts])
+    count = np.searchsorted(starts, texts_at)
+    ends = count + np.arange(len(texts))
+    out = np.full(len(words) + len(texts), END, U64)
+    out[np.arange(len(words)) + np.searchsorted(count, np.arange(len(words)), side="right")] = words
+    return out, ends
 
 
 def hash_of(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word)
-
-
-def tokens_of(text: bytes) -> list[bytes]:
-    """Words between ASCII white space after lower-casing A-Z, then the end."""
-    words = text.lower().split()
-    words.append(END)
-    return words
+    return int(token_hashes([word])[0][0])
 
 
 def quantised(p: np.ndarray) -> np.ndarray:
@@ -122,45 +145,6 @@ class Gathered:
             yield pa.record_batch([pa.array([s], pa.int32()), pa.array([squeeze(tuple(k[idx] for k in keys), c[idx])], pa.binary())], names=["shard", "counts"])
 
 
-class Numbering(dict):
-    """Numbers words in the order they are met."""
-
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        return n
-
-
-class Words:
-    """Numbers of words within a worker, with their hashes and what the vocabulary knows of them."""
-
-    def __init__(self, lookup=None):
-        self.lookup = lookup
-        self.clear()
-
-    def clear(self):
-        self.number, self.bytes = Numbering(), 0
-        self.hash = np.zeros(0, U64)
-        self.id = np.zeros(0, np.int64)
-        self.count = np.zeros(0, np.int64)
-
-    def numbers(self, tokens: list[bytes]) -> np.ndarray:
-        number, had = self.number, len(self.number)
-        out = np.fromiter(map(number.__getitem__, tokens), np.int64, len(tokens))
-        if len(number) > had:
-            fresh = [*islice(reversed(number), len(number) - had)][::-1]
-            self.bytes += sum(map(len, fresh))
-            h = np.fromiter(map(hash_of, fresh), U64, len(fresh))
-            self.hash = np.concatenate([self.hash, h])
-            if self.lookup:
-                i, c = self.lookup(h)
-                self.id, self.count = np.concatenate([self.id, i]), np.concatenate([self.count, c])
-        return out
-
-    def trim(self):
-        if len(self.number) > WORDS_HELD or self.bytes > WORD_BYTES_HELD:
-            self.clear()
-
-
 def by_shard(rows: DataFrame, n: int, build, schema: str) -> DataFrame:
     """build(shard, merged keys, counts) for each shard of rows (shard, counts); one shard at a time in a task."""
 
@@ -400,15 +384,11 @@ def trained(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dis
     hot_from = max(1, SHARD_TOKENS // 4)
 
     def words():
-        known, gathered = Words(), Gathered(lambda keys: Vocabulary.shard_of(keys[0], bits))
+        gathered = Gathered(lambda keys: Vocabulary.shard_of(keys[0], bits))
 
         def take(texts):
-            tokens = [w for t in texts for w in tokens_of(t)]
-            c = np.bincount(known.numbers(tokens))
-            n = np.flatnonzero(c)
-            n = n[np.argsort(known.hash[n])]
-            yield from gathered.add((known.hash[n],), c[n].astype(U64))
-            known.trim()
+            h, n = np.unique(token_hashes(texts)[0], return_counts=True)
+            yield from gathered.add((h,), n.astype(U64))
 
         return take, gathered.out
 
@@ -421,24 +401,23 @@ def trained(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dis
     got = by_shard(_gather(training, words), max(n_out, 1 << bits), save_words, "shard int, n long, total long").collect()
     vocabulary = Vocabulary(folder, bits, {r["shard"]: -r["n"] - 1 for r in got if r["n"] < 0}, sum(r["total"] for r in got if r["n"] < 0))
     hot = {int(vocabulary.first[r["shard"]]) + r["n"]: r["total"] for r in got if r["n"] >= 0}
-    end_count = int(vocabulary.lookup(np.array([hash_of(END)], U64))[1][0]) if vocabulary.size else 0
+    end_count = int(vocabulary.lookup(np.array([END], U64))[1][0]) if vocabulary.size else 0
     trie = Trie(vocabulary, end_count, max(1, -(-vocabulary.total // SHARD_TOKENS)), discount, hot)
     shared = spark.sparkContext.broadcast(trie)
 
     def grams():
         t = shared.value
-        known, width = Words(t.vocabulary.lookup), U64(t.width)
+        width = U64(t.width)
         gathered = Gathered(lambda keys: t.shard_of((keys[0] // width).astype(np.int64), (keys[0] % width).astype(np.int64)))
 
         def take(texts):
-            context, follower, _, ends = sequences(texts, known, t.width)
+            context, follower, _, ends = sequences(texts, t)
             pair = context.astype(U64) * width + follower.astype(U64)
             after = np.append(follower[1:], 0).astype(U64)
             after[ends] = width  # nothing follows the end of a text
             some, number = np.unique(pair, return_inverse=True)
             both, n = np.unique(number.astype(U64) << U64(33) | after, return_counts=True)
             yield from gathered.add((some[(both >> U64(33)).astype(np.int64)], both & U64((1 << 33) - 1)), n.astype(U64))
-            known.trim()
 
         return take, gathered.out
 
@@ -456,25 +435,22 @@ def trained(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dis
     return trie
 
 
-def sequences(texts: list[bytes], known: Words, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(context numbers, follower numbers, words' numbers within the worker) of all tokens, and where texts end; -1 is a word the vocabulary lacks."""
-    tokens, ends = [], []
-    for t in texts:
-        tokens += tokens_of(t)
-        ends.append(len(tokens) - 1)
-    n = known.numbers(tokens)
-    follower, ends = known.id[n], np.array(ends, np.int64)
+def sequences(texts: list[bytes], t: Trie) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(numbers of the contexts, of the tokens, the tokens' counts) of all tokens, and where texts end; -1 is a word the vocabulary lacks."""
+    hashes, ends = token_hashes(texts)
+    distinct, back = np.unique(hashes, return_inverse=True)
+    number, count = t.vocabulary.lookup(distinct)
+    follower = number[back]
     context = np.empty_like(follower)
     context[1:] = follower[:-1]
-    context[np.append(0, ends[:-1] + 1)] = width - 1
-    return context, follower, n, ends
+    context[np.append(0, ends[:-1] + 1)] = t.width - 1
+    return context, follower, count[back], ends
 
 
-def log_scores(texts: list[bytes], t: Trie, known: Words, order: int = ORDER) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def log_scores(texts: list[bytes], t: Trie, order: int = ORDER) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(tokens, known tokens, base score, score) of each text."""
     v = t.vocabulary
-    context, follower, n, ends = sequences(texts, known, t.width)
-    c = known.count[n]
+    context, follower, c, ends = sequences(texts, t)
     p = (c + 1.0) / (v.total + v.size + 1)
     full = p.copy()
     own = np.empty_like(c)  # how often the context occurs in training
@@ -515,15 +491,10 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disc
         raise ValueError("the trie has levels for an order of 2 or 3")
     trie = trained(docs, id_col, text_col, discount)
     shared = docs.sparkSession.sparkContext.broadcast(trie)
-    held: dict[int, Words] = {}
 
     def run(ids, texts, batch):
         t = shared.value
-        known = held.get(0) or held.setdefault(0, Words(t.vocabulary.lookup))
-        parts = []
-        for lo, hi in pieces(texts):
-            parts.append(log_scores(texts[lo:hi], t, known, order))
-            known.trim()
+        parts = [log_scores(texts[lo:hi], t, order) for lo, hi in pieces(texts)]
         n, n_known, base, score = map(np.concatenate, zip(*parts, strict=True))
         total = np.full(len(texts), t.vocabulary.total, np.int64)
         return pa.record_batch([ids, batch.column(2), pa.array(n), pa.array(n_known), pa.array(total), pa.array(base), pa.array(score)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])

@@ -113,6 +113,21 @@ def test_elias_fano():
         assert ((e.find(q) >= 0) == np.isin(q, v)).all()
 
 
+def test_token_hashes(monkeypatch):
+    """One hash a word, whatever its neighbours, its case and the parts it is hashed in."""
+    rng = random.Random(4)
+    words = [bytes(rng.choice(b"abXYZ\xc3\xa9\x1c\xa0") for _ in range(rng.randrange(1, 6))) for _ in range(300)] + [b"Q" * 1024, b"q" * 1025, b"Q" * 5000]
+    texts = [b"", b" \t", *(b"".join(w for _ in range(rng.randrange(20)) for w in (rng.choice(words), rng.choice([b" ", b"\n\x0b ", b"\r\x0c"]))) for _ in range(50)), b"q" * 1025]
+    want = [[*t.lower().split(), None] for t in texts]
+    for limit in (1 << 22, 7):
+        monkeypatch.setattr(ngram_lm, "HASHED_BYTES", limit)
+        h, ends = ngram_lm.token_hashes(texts)
+        flat = [w for t in want for w in t]
+        assert len(h) == len(flat) and [i for i, w in enumerate(flat) if w is None] == ends.tolist()
+        assert len(set(zip(flat, h.tolist()))) == len(set(flat)) == len(set(h.tolist()))
+        assert [ngram_lm.hash_of(w.lower()) for w in words[:50]] == [ngram_lm.hash_of(w) for w in words[:50]]
+
+
 @pytest.mark.parametrize(("shard_tokens", "order"), [(4_000_000, 3), (5_000, 3), (5_000, 2)])
 def test_lm_equals_brute_force(spark, small, monkeypatch, shard_tokens, order):
     monkeypatch.setattr(ngram_lm, "SHARD_TOKENS", shard_tokens)
@@ -157,7 +172,7 @@ def test_lm_equals_brute_force(spark, small, monkeypatch, shard_tokens, order):
 def test_lm_probabilities_sum_to_at_most_one(spark):
     df = spark.createDataFrame(rows_of(["a b a c", "a b", "c a b b"] * 4), SCHEMA)
     trie = ngram_lm.trained(df)
-    own = trie.vocabulary.lookup(np.array([ngram_lm.hash_of(w) for w in (b"a", b"b", b"c", ngram_lm.END)], np.uint64))
+    own = trie.vocabulary.lookup(ngram_lm.token_hashes([b"a b c"])[0])
     base = (own[1] + 1) / (trie.vocabulary.total + trie.vocabulary.size + 1)
     unseen = 1 / (trie.vocabulary.total + trie.vocabulary.size + 1)
     for u, c in [*zip(own[0][:3].tolist(), own[1][:3].tolist()), (trie.width - 1, trie.starts)]:
@@ -323,14 +338,12 @@ def test_long_unbroken_texts_are_not_kept(spark):
     """Texts without spaces make each document one word: workers keep none of them."""
     rng = random.Random(2)
     texts = ["".join(rng.choice("abcdefgh漢字") for _ in range(300)) for _ in range(200)]
-    merger, terms, shingler, words = PairMerger(vocabulary_path()), toxicity.Terms(), jaccard_join.Shingler(), ngram_lm.Words()
+    merger, terms, shingler = PairMerger(vocabulary_path()), toxicity.Terms(), jaccard_join.Shingler()
     for t in texts:
         merger.count(t)
         terms.of(t.encode())
         shingler.of(t.encode())
-    words.numbers([b"x" * (1 << 20)] * 40 + [b"%d" % i + b"x" * (1 << 20) for i in range(40)])
-    words.trim()
-    held = sum(len(k.encode() if isinstance(k, str) else k) for d in (merger.seen, terms.seen, shingler.seen, words.number) for k in d)
+    held = sum(len(k.encode() if isinstance(k, str) else k) for d in (merger.seen, terms.seen, shingler.seen) for k in d)
     assert held == 0 and sum(map(len, merger.known)) < 2000
 
 
