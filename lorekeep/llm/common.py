@@ -38,13 +38,27 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+#: Folders that this driver made, for remove_folders().
+_MADE: list[str] = []
+
+
 def new_folder(spark: SparkSession, kind: str) -> str:
     """A fresh sub-folder of the shared folder, as a URI."""
     uri = f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
     filesystem(uri)[0].create_dir(filesystem(uri)[1], recursive=True)
+    _MADE.append(uri)
     return uri
 
 
+def remove_folders(spark: SparkSession) -> int:
+    """Removes the folders that operators have made from this driver, and says how many. Only once all results are written: plans read them."""
+    n = len(_MADE)
+    while _MADE:
+        system, path = filesystem(_MADE.pop())
+        system.delete_dir(path)
+    return n
+
+
 def filesystem(uri: str):
     """(pyarrow file system, path) of a URI; a bare path is local."""
     from pyarrow import fs

@@ -171,7 +171,9 @@ def by_shard(rows: DataFrame, n: int, build, schema: str) -> DataFrame:
 def groups_of(labels: np.ndarray):
     """(label, places with it, in order) for each distinct label."""
     if len(labels):
-        order = np.argsort(labels, kind="stable")
+        # 16-bit labels are sorted by counting
+        small = labels.min() >= -(1 << 15) and labels.max() < 1 << 15
+        order = np.argsort(labels.astype(np.int16) if small else labels, kind="stable")
         at = np.flatnonzero(np.diff(labels[order], prepend=labels[order[0]])) if len(labels) > 1 else np.zeros(0, np.int64)
         for q in np.split(order, at):
             yield int(labels[q[0]]), q

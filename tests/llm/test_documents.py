@@ -495,3 +495,13 @@ def test_archives_are_zip_files(tmp_path):
     (tmp_path / "x.zip").write_bytes(build.bytes())
     with zipfile.ZipFile(tmp_path / "x.zip") as z:
         assert z.testzip() is None and z.read("0_1") == b"abc"
+
+
+def test_folders_are_removed(spark, small, tmp_path):
+    from lorekeep.llm import common
+
+    held, common._MADE[:] = common._MADE[:], []
+    media.text_media(spark.read.parquet(f"{small}/documents.parquet")).write.parquet(str(tmp_path / "out"))
+    (folder,) = common._MADE
+    assert common.remove_folders(spark) == 1 and common.filesystem(folder)[0].get_file_info(common.filesystem(folder)[1]).type.name == "NotFound"
+    common._MADE[:] = held
