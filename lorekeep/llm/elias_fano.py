@@ -95,9 +95,8 @@ class EliasFano:
             return np.zeros(len(i), U64)
         at = i.astype(np.int64) * self.low_bits
         word, shift = at >> 6, (at & 63).astype(U64)
-        first = self.low[word] >> shift
-        second = np.where(shift > 0, self.low[word + 1] << ((U64(64) - shift) & U64(63)), U64(0))
-        return (first | second) & self.mask
+        # in two steps, as 64 places are no shift
+        return (self.low[word] >> shift | self.low[word + 1] << U64(1) << (U64(63) - shift)) & self.mask
 
     def get(self, i: np.ndarray) -> np.ndarray:
         """Values at places i."""
@@ -108,7 +107,7 @@ class EliasFano:
         word, shift = at >> 6, (at & 63).astype(U64)
         last = len(self.high) - 1
         bits = self.high[np.minimum(word, last)] >> shift
-        bits |= np.where(shift > 0, self.high[np.minimum(word + 1, last)] << ((U64(64) - shift) & U64(63)), U64(0))
+        bits |= self.high[np.minimum(word + 1, last)] << U64(1) << (U64(63) - shift)
         out = np.bitwise_count((bits ^ (bits + U64(1))) >> U64(1)).astype(np.int64)
         long = np.flatnonzero(out >= 63)
         if len(long):  # the run may go on: up to the next zero
@@ -122,17 +121,23 @@ class EliasFano:
         word, shift = at >> 6, (at & 63).astype(U64)
         return self.ones[word] + np.bitwise_count(self.high[word] & ((U64(1) << shift) - U64(1)))
 
-    def _search(self, values: np.ndarray, lo: np.ndarray | None, hi: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        """(successor places, ends of the stretches of equal upper parts they were looked for in)."""
+    def _stretches(self, values: np.ndarray, lo: np.ndarray | None, hi: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """(starts, ends) of the places whose upper parts equal each value's, within [lo, hi) if given."""
         top = (values >> U64(self.low_bits)).astype(np.int64)
-        begin = np.where(top > 0, self._select(np.maximum(top - 1, 0), True) + 1, 0)
+        begin = self._select(np.maximum(top, 1) - 1, True) + 1
+        begin[top == 0] = 0
         start = begin - top
         end = start + self._ones_from(begin)
         if lo is not None:
             start = np.maximum(start, lo)
             end = np.maximum(np.minimum(end, hi), start)
+        return start, end
+
+    def successor(self, values: np.ndarray, lo: np.ndarray | None = None, hi: np.ndarray | None = None) -> np.ndarray:
+        """The first place (within [lo, hi), if given) whose value isn't less than each query; hi or n where there is none."""
+        values = values.astype(U64)
+        a, b = self._stretches(values, lo, hi)
         want = values & self.mask
-        a, b = start, end.copy()
         live = np.flatnonzero(a < b)
         while len(live):
             mid = (a[live] + b[live]) >> 1
@@ -140,19 +145,23 @@ class EliasFano:
             a[live[up]] = mid[up] + 1
             b[live[~up]] = mid[~up]
             live = live[a[live] < b[live]]
-        return a, end
-
-    def successor(self, values: np.ndarray, lo: np.ndarray | None = None, hi: np.ndarray | None = None) -> np.ndarray:
-        """The first place (within [lo, hi), if given) whose value isn't less than each query; hi or n where there is none."""
-        return self._search(values.astype(U64), lo, hi)[0]
+        return a
 
     def find(self, values: np.ndarray, lo: np.ndarray | None = None, hi: np.ndarray | None = None) -> np.ndarray:
-        """The place of each query (within [lo, hi), if given), or -1."""
+        """A place of each query (within [lo, hi), if given), or -1."""
+        out = np.full(len(values), -1, np.int64)
         if not self.n or not len(values):
-            return np.full(len(values), -1, np.int64)
+            return out
         values = values.astype(U64)
-        at, end = self._search(values, lo, hi)
-        # a place before the end has the query's upper part
-        found = at < end
-        found[found] = self._low(at[found]) == (values & self.mask)[found]
-        return np.where(found, at, -1)
+        a, b = self._stretches(values, lo, hi)
+        live = np.flatnonzero(a < b)
+        a, b, want = a[live], b[live], values[live] & self.mask
+        while len(live):
+            mid = (a + b) >> 1
+            low = self._low(mid)
+            hit, up = low == want, low < want
+            out[live[hit]] = mid[hit]
+            a, b = np.where(up, mid + 1, a), np.where(up, b, mid)
+            on = np.flatnonzero((a < b) & ~hit)
+            live, a, b, want = live[on], a[on], b[on], want[on]
+        return out

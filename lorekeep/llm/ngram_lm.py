@@ -18,7 +18,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,14 +36,16 @@ LEVELS = 10.0 ** (-np.arange(1 << 16) / QUANTA)
 SHARD_TOKENS = 1_500_000
 #: Counted entries that a task gathers before it hands them on.
 HELD_ENTRIES = 1_500_000
-#: Longer words are hashed one by one; bytes of words that are hashed together.
-LONG_WORD, HASHED_BYTES = 1024, 4 << 20
+#: Bytes of text that are hashed at a time; a word may go on in the next ones.
+HASHED_BYTES = 1 << 16
 
-_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
-#: A value of each byte, the same for A-Z as for a-z, and the powers of a base: a word's hash is a polynomial in it.
+#: A word's hash is a polynomial in a base, of values of its bytes: the same for A-Z as for a-z, and 0 for white space.
+_BASE = 0x5851F42D4C957F2D
 _VALUES = mix64(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
 _VALUES[65:91] = _VALUES[97:123]
-_POWERS = np.cumprod(np.full(LONG_WORD, 0x5851F42D4C957F2D, U64), dtype=U64)
+_VALUES[[32, *range(9, 14)]] = 0
+#: Powers of the base from the first up, and their inverses modulo 2**64.
+_POWERS, _INVERSES = (np.cumprod(np.full(HASHED_BYTES, b, U64), dtype=U64) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
 #: What stands for the end of a text.
 END = 0xE2D0F7E87E15EA5D
 
@@ -52,26 +53,31 @@ END = 0xE2D0F7E87E15EA5D
 def token_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of each text, between ASCII white space and with A-Z lower-cased, and then its end; and where the ends are."""
     data = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
-    space = _SPACE[data]
-    border = np.flatnonzero(np.diff(space.view(np.int8), prepend=1))
+    # the text begins as if after a space, and ends with one
+    space = np.ones(len(data) + 1, bool)
+    np.logical_or(data == 32, data - np.uint8(9) < 5, out=space[1:])
+    border = np.flatnonzero(space[1:] != space[:-1])
     starts, sizes = border[::2], border[1::2] - border[::2]
     words = np.empty(len(starts), U64)
-    for k in np.flatnonzero(sizes > LONG_WORD).tolist():
-        words[k] = xxhash.xxh3_64_intdigest(data[starts[k] : starts[k] + sizes[k]].tobytes().lower())
-    short = np.flatnonzero(sizes <= LONG_WORD)
-    done = np.cumsum(sizes[short])
-    for part in np.split(short, np.searchsorted(done, np.arange(HASHED_BYTES, done[-1] if len(done) else 0, HASHED_BYTES))):
-        if len(part):
-            n = sizes[part]
-            first = np.cumsum(n) - n
-            at = np.arange(first[-1] + n[-1]) - np.repeat(first, n)
-            words[part] = mix64(np.add.reduceat(_VALUES[data[at + np.repeat(starts[part], n)]] * _POWERS[at], first) + n.astype(U64))
+    step = min(HASHED_BYTES, len(_POWERS))
+    firsts = np.searchsorted(starts, np.arange(0, len(data) + step, step)).tolist()
+    for at, lo, hi in zip(range(0, len(data), step), firsts, firsts[1:], strict=False):
+        part = data[at : at + step]
+        terms = _VALUES[part] * _POWERS[: len(part)]
+        own = starts[lo:hi] - at
+        if lo:  # the rest of the word before; nothing, if it has ended
+            rest = int(terms[: own[0] if len(own) else None].sum())
+            words[lo - 1 : lo] += U64(rest * pow(_BASE, at - int(starts[lo - 1]) - 1, 1 << 64) % (1 << 64))
+        if len(own):
+            words[lo:hi] = np.add.reduceat(terms, own) * _INVERSES[own]
+    words = mix64(words + sizes.astype(U64))
     # an end after the words of each text
     texts_at = np.cumsum([len(t) + 1 for t in texts])
-    count = np.searchsorted(starts, texts_at)
-    ends = count + np.arange(len(texts))
+    ends = np.searchsorted(starts, texts_at) + np.arange(len(texts))
     out = np.full(len(words) + len(texts), END, U64)
-    out[np.arange(len(words)) + np.searchsorted(count, np.arange(len(words)), side="right")] = words
+    is_word = np.ones(len(out), bool)
+    is_word[ends] = False
+    out[is_word] = words
     return out, ends
 
 
@@ -79,6 +85,17 @@ def hash_of(word: bytes) -> int:
     return int(token_hashes([word])[0][0])
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys in order, a place of each, which of them each key is). Unlike np.unique, of equal keys any one's place will do."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    which = np.empty(len(keys), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return ordered[new], order[new], which
+
+
 def quantised(p: np.ndarray) -> np.ndarray:
     return np.minimum(np.ceil(-np.log10(np.maximum(p, 1e-30)) * QUANTA), 65535).astype(np.uint16)
 
@@ -138,10 +155,7 @@ class Gathered:
             return
         keys, c = self.parts[0] if len(self.parts) == 1 else summed(self.parts)
         self.parts, self.size = [], 0
-        shard = self.shard_of(keys)
-        order = np.argsort(shard, kind="stable")
-        ids, at = np.unique(shard[order], return_index=True)
-        for s, idx in zip(ids.tolist(), np.split(order, at[1:]), strict=True):
+        for s, idx in groups_of(self.shard_of(keys)):
             yield pa.record_batch([pa.array([s], pa.int32()), pa.array([squeeze(tuple(k[idx] for k in keys), c[idx])], pa.binary())], names=["shard", "counts"])
 
 
@@ -417,7 +431,7 @@ def trained(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dis
             pair = context.astype(U64) * width + follower.astype(U64)
             after = np.append(follower[1:], 0).astype(U64)
             after[ends] = width  # nothing follows the end of a text
-            some, number = np.unique(pair, return_inverse=True)
+            some, _, number = distinct(pair)
             both, n = np.unique(number.astype(U64) << U64(33) | after, return_counts=True)
             yield from gathered.add((some[(both >> U64(33)).astype(np.int64)], both & U64((1 << 33) - 1)), n.astype(U64))
 
@@ -440,8 +454,8 @@ def trained(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dis
 def sequences(texts: list[bytes], t: Trie) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(numbers of the contexts, of the tokens, the tokens' counts) of all tokens, and where texts end; -1 is a word the vocabulary lacks."""
     hashes, ends = token_hashes(texts)
-    distinct, back = np.unique(hashes, return_inverse=True)
-    number, count = t.vocabulary.lookup(distinct)
+    different, _, back = distinct(hashes)
+    number, count = t.vocabulary.lookup(different)
     follower = number[back]
     context = np.empty_like(follower)
     context[1:] = follower[:-1]
@@ -460,8 +474,8 @@ def log_scores(texts: list[bytes], t: Trie, order: int = ORDER) -> tuple[np.ndar
     own[np.append(0, ends[:-1] + 1)] = t.starts
     met = np.flatnonzero((context >= 0) & (own > 0))
     key = context[met].astype(U64) * U64(t.width + 1) + (follower[met] + 1).astype(U64)
-    distinct, first, back = np.unique(key, return_index=True, return_inverse=True)
-    if len(distinct):
+    _, first, back = distinct(key)
+    if len(first):
         p2, shard, place, rest = t.pairs(context[met][first], follower[met][first], own[met][first], p[met][first])
         full[met] = p2[back]
         if order > 2:
@@ -473,7 +487,7 @@ def log_scores(texts: list[bytes], t: Trie, order: int = ORDER) -> tuple[np.ndar
             deep = np.flatnonzero((before >= 0) & (pair >= 0))
             deep = deep[place[before[deep]] >= 0]
             # pairs are in order of context and follower, so triples of a shard are in order of place
-            triples, back = np.unique(before[deep].astype(U64) << U64(32) | pair[deep].astype(U64), return_inverse=True)
+            triples, _, back = distinct(before[deep].astype(U64) << U64(32) | pair[deep].astype(U64))
             if len(triples):
                 a, b = (triples >> U64(32)).astype(np.int64), (triples & U64(0xFFFFFFFF)).astype(np.int64)
                 full[deep] = (t.thirds(shard[a], place[a], follower[met][first][b]) + rest[a] * p2[b])[back]
