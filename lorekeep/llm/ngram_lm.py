@@ -179,7 +179,7 @@ def by_shard(rows: DataFrame, n: int, build, schema: str) -> DataFrame:
                     parts = [summed(parts)]
         yield from close()
 
-    return rows.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(run, schema)
+    return rows.repartitionById(n, "shard").sortWithinPartitions("shard").mapInArrow(run, schema)
 
 
 def groups_of(labels: np.ndarray):

@@ -317,7 +317,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, core: int = CORE, buck
         for rows in _buckets(batches):
             yield from solve_bucket(rows, split.value, length, core)
 
-    rows = d.mapInArrow(placed, PLACED).repartition(max(n_out, buckets), "bucket").sortWithinPartitions("bucket")
+    rows = d.mapInArrow(placed, PLACED).repartitionById(max(n_out, buckets), "bucket").sortWithinPartitions("bucket")
     found = checkpointed(rows.mapInArrow(solved, COVER + ", content binary, bucket int"))
     across = found.where("content is not null")
     both = across.groupBy("content").agg(F.min("bucket").alias("x"), F.max("bucket").alias("y")).where("x != y").select("content")
