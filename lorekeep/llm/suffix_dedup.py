@@ -137,7 +137,8 @@ class Sampler:
         own_hi = np.minimum(run_hi, places[k])
         some = own_lo <= own_hi
         k, own_lo, own_hi = k[some], own_lo[some], own_hi[some]
-        return data, starts, hp[k], places[k], own_lo, own_hi
+        # least values are small ones; scrambled again, they spread over the shards of counts
+        return data, starts, mix64(hp[k]), places[k], own_lo, own_hi
 
 
     def first_windows(self, text: bytes, place: np.ndarray, own_lo: np.ndarray, own_hi: np.ndarray):
