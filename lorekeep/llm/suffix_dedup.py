@@ -36,6 +36,8 @@ BUCKET_SUFFIXES = 40_000
 #: Suffixes of the sample that splitters are taken from, for each bucket, and of the whole sample at most
 #: (each some 250 bytes on the driver). Splitters only deal suffixes out; a coarser sample changes no result.
 SAMPLE_PER_BUCKET, SAMPLE_MOST = 60, 200_000
+#: Of large tables, one row in so many is looked through for the splitters' sample; copies are drawn each by itself.
+SAMPLE_ROWS_EVERY = 16
 #: Bytes of text that a worker takes at a time; longer texts are taken in parts that share `length` - 1 bytes.
 SEGMENT_BYTES = 2 << 20
 #: Suffixes in an Arrow batch.
@@ -295,15 +297,23 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, core: int = CORE, buck
                 if rows:
                     yield rows
 
-    cores_total = cores.total
+    def drawn(rows: DataFrame, every: int) -> list[bytes]:
+        """The keys of one suffix in `every`, in order; one job, and some SAMPLE_MOST keys at most come here."""
 
-    def sampled(batches):
-        every = max(1, cores_total // min(buckets * SAMPLE_PER_BUCKET, SAMPLE_MOST))
-        for rows in suffixes(batches, every):
-            yield pa.record_batch([pa.array([r[0] for r in rows], pa.binary())], names=["key"])
+        def sampled(batches):
+            for found in suffixes(batches, every):
+                yield pa.record_batch([pa.array([r[0] for r in found], pa.binary())], names=["key"])
 
-    # one job; some SAMPLE_MOST keys at most come here
-    keys = sorted(d.mapInArrow(sampled, "key binary").toArrow().column("key").to_pylist()) if buckets > 1 else []
+        return sorted(rows.mapInArrow(sampled, "key binary").toArrow().column("key").to_pylist())
+
+    keys = []
+    if buckets > 1:
+        wanted = min(buckets * SAMPLE_PER_BUCKET, SAMPLE_MOST)
+        every = max(1, cores.total // wanted)
+        rows_every = min(every, SAMPLE_ROWS_EVERY)
+        keys = drawn(d.sample(1 / rows_every, seed=1), every // rows_every) if rows_every > 1 else []
+        if len(keys) < wanted // 2:  # a small table, or one of few and long texts
+            keys = drawn(d, every)
     splitters = [keys[len(keys) * k // buckets] for k in range(1, buckets)] if keys else []
     split = spark.sparkContext.broadcast(splitters)
 
