@@ -56,6 +56,26 @@ def test_suffix_dedup_is_exact(spark, length, core, bucket):
         assert tuple(got[d][k] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256")) == want
 
 
+@pytest.mark.parametrize("rows_every", [2, 1000])
+def test_suffix_dedup_with_splitters_of_some_rows(spark, monkeypatch, rows_every):
+    """Splitters from some of the rows, or of all where those give too few, change no result."""
+    monkeypatch.setattr(suffix_dedup, "SAMPLE_MOST", 20)
+    monkeypatch.setattr(suffix_dedup, "SAMPLE_ROWS_EVERY", rows_every)
+    rng = random.Random(6)
+    parts = ["".join(rng.choice("abcd ") for _ in range(rng.randrange(5, 60))) for _ in range(12)]
+    docs = [(i, "".join(rng.choice(parts) for _ in range(rng.randrange(0, 6)))) for i in range(150)]
+    got = keyed(suffix_dedup.without_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), 20, 4, 50))
+    for d, want in repeats([(d, t.encode()) for d, t in docs], 20).items():
+        assert tuple(got[d][k] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256")) == want
+
+
+def test_sampled_cores_spread_over_shards():
+    """A sampled core has the least hash of a window; its key still may begin with any bits."""
+    rng = random.Random(7)
+    h = np.unique(suffix_dedup.Sampler().of([bytes(rng.choices(range(256), k=300_000))])[2])
+    assert np.bincount((h >> np.uint64(60)).astype(int), minlength=16).max() < len(h) / 8
+
+
 def test_suffix_dedup_on_the_small_table(spark, small):
     docs = [(d, t.encode()) for d, t in texts_of(small)]
     got = keyed(suffix_dedup.without_repeats(spark.read.parquet(f"{small}/documents.parquet")))
