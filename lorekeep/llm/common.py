@@ -6,6 +6,7 @@ see (trie levels, fingerprint sets, archives) live there and nowhere else.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -121,9 +122,40 @@ def unpack(data: memoryview | bytes) -> dict[str, np.ndarray]:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows, written to the shared folder; later steps read them and lose nothing with an executor."""
+    """The rows, written to the shared folder; later steps read them and lose nothing with an executor.
+
+    What the plan has broadcast goes at once. A hashed relation of a few rows fills a page of memory (16 MB) in
+    each executor, and would stay there until the driver happens to collect its garbage.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    own = df.select("*")  # a plan that is run here alone
+    out = own.checkpoint(eager=True)
+    for b in broadcasts_of(own):
+        b.destroy()
+    return out
+
+
+def broadcasts_of(df: DataFrame) -> list:
+    """The JVM's broadcasts of the joins of df's own plan, which has run."""
+    found, rest = {}, [df._jdf.queryExecution().executedPlan()]
+    if "BroadcastExchange" not in rest[0].toString():
+        return []
+    while rest:
+        node = rest.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            rest.append(node.executedPlan())
+        elif kind in ("BroadcastQueryStageExec", "BroadcastExchangeExec"):
+            made = node.broadcast() if kind == "BroadcastQueryStageExec" else node
+            b = made.relationFuture().get()
+            found[b.id()] = b
+            rest.append(made.child())
+        elif kind.endswith("QueryStageExec"):
+            rest.append(node.plan())
+        else:
+            children = node.children()
+            rest += [children.apply(i) for i in range(children.size())]
+    return list(found.values())
 
 
 #: A key with more than one in so many rows, and with more rows than HOT_ROWS, is hot; so there are fewer hot keys than HOT_KEYS.
@@ -198,6 +230,27 @@ def runs_of(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return s[new], e[np.r_[np.flatnonzero(new)[1:] - 1, len(s) - 1]]
 
 
+def give_back() -> None:
+    """Returns freed memory to the system; allocators keep it otherwise, for as long as the process lives."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # only glibc has it
+        pass
+
+
+def lean(run):
+    """run(batches) for mapInArrow, after which the worker gives its memory back: Spark keeps workers for later tasks, beside the JVM."""
+
+    def lent(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return lent
+
+
 def map_texts(df: DataFrame, fn, schema: str, id_col: str = "doc_id", text_col: str = "text", extra: Iterable[str] = ()) -> DataFrame:
     """mapInArrow over (id, text, extra...) with fn(ids: Array, texts: list[bytes], batch) -> RecordBatch."""
     workers_import(df.sparkSession)
@@ -209,7 +262,7 @@ def map_texts(df: DataFrame, fn, schema: str, id_col: str = "doc_id", text_col:
             if b.num_rows:
                 yield fn(b.column(0), byte_texts(b.column(1)), b)
 
-    return df.select(*cols).mapInArrow(run, schema)
+    return df.select(*cols).mapInArrow(lean(run), schema)
 
 
 def filter_texts(df: DataFrame, keep, text_col: str = "text") -> DataFrame:
@@ -222,4 +275,4 @@ def filter_texts(df: DataFrame, keep, text_col: str = "text") -> DataFrame:
             if b.num_rows:
                 yield b.filter(pa.array(keep(byte_texts(b.column(at))), pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(lean(run), df.schema)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import U64, byte_texts, checkpointed, map_texts, mix64, pieces, skew_join
+from lorekeep.llm.common import U64, byte_texts, checkpointed, lean, map_texts, mix64, pieces, skew_join
 from lorekeep.llm.components import components
 from lorekeep.session import workers_import
 
@@ -187,8 +187,8 @@ def trie_links(rows: DataFrame, width: int, join_at: float = JOIN_AT) -> DataFra
     order = ["tree", "label", "tie"]
     # the hash mixes the nodes of a split label, so its parts choose from the same smallest nodes
     rows = rows.select("tree", "label", "node", "signature", F.xxhash64("node").alias("tie"))
-    first = checkpointed(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(inside, LINK_SCHEMA))
-    again = first.where("b is null").select("tree", "label", F.col("a").alias("node"), "signature").repartition(n, "tree", "label").sortWithinPartitions("tree", "label").mapInArrow(across, LINK_SCHEMA)
+    first = checkpointed(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(lean(inside), LINK_SCHEMA))
+    again = first.where("b is null").select("tree", "label", F.col("a").alias("node"), "signature").repartition(n, "tree", "label").sortWithinPartitions("tree", "label").mapInArrow(lean(across), LINK_SCHEMA)
     return first.where("b is not null").select("a", "b").union(again.select("a", "b")).distinct()
 
 
@@ -440,7 +440,7 @@ def near_duplicates(docs: DataFrame, similarity: Fraction = SIMILARITY, shingle:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["tree", "name", "i", "j"]
     kinds = "tree int, name binary, i int, j int, node binary, copies long, side int, shingles binary, cluster binary, visits array<binary>, signature binary"
-    blocks = checkpointed(texts.mapInArrow(shingled, kinds).repartition(n, *order).sortWithinPartitions(*order, "node").mapInArrow(compared, "node binary, links long, root binary"))
+    blocks = checkpointed(texts.mapInArrow(lean(shingled), kinds).repartition(n, *order).sortWithinPartitions(*order, "node").mapInArrow(lean(compared), "node binary, links long, root binary"))
     spans = components(blocks.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")))
     links = blocks.groupBy("node").agg(F.sum("links").alias("links"))
     known = checkpointed(spans.join(links, "node").join(classes.select("node", "first"), "node"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import checkpointed, filter_texts, fold, map_texts, pieces
+from lorekeep.llm.common import checkpointed, filter_texts, fold, lean, map_texts, pieces
 
 #: Labelled rows of each class that the fit uses at most, those of the lowest id hash. The only bounded step.
 SAMPLE_ROWS = 6000
@@ -209,7 +209,7 @@ def fitted(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample_
         yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array(n[some]), pa.array(toxic[some])], names=["term", "n", "toxic"])
 
     # one row a bucket that enough rows hold, so 2 ** BITS at most
-    counts = rows.mapInArrow(counted, "term int, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).where(F.col("n") >= LEAST_ROWS).orderBy("term").toArrow()
+    counts = rows.mapInArrow(lean(counted), "term int, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).where(F.col("n") >= LEAST_ROWS).orderBy("term").toArrow()
     size = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     kept = telling_terms(*[counts.column(c).to_numpy().astype(float if c != "term" else np.int64) for c in ("term", "n", "toxic")], *size)
 
@@ -219,7 +219,7 @@ def fitted(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample_
             yield pa.record_batch([b.column(0), b.column(1), pa.array([x.tobytes() for x in found], pa.binary())], names=["id", "y", "terms"])
 
     # only kept terms of the sampled rows come to the driver
-    got = rows.mapInArrow(cut, "id long, y int, terms binary").toArrow().to_pydict()
+    got = rows.mapInArrow(lean(cut), "id long, y int, terms binary").toArrow().to_pydict()
     order = sorted(range(len(got["id"])), key=lambda i: (got["id"][i], got["terms"][i]))
     y = np.array([got["y"][i] for i in order], float)
     return FactorizationMachine.fit([np.frombuffer(got["terms"][i], np.int32).astype(np.int64) for i in order], y, np.where(y == 1, weight[1], weight[0]), terms=kept)

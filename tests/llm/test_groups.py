@@ -368,3 +368,39 @@ def test_decisions_agree_between_forms(spark, small):
     kept = {r["doc_id"] for r in decontam.clean_documents(d, b).collect()}
     assert bad and not bad & kept and len(bad) + len(kept) == d.count()
     assert np.isfinite(len(kept))
+
+
+def test_checkpoints_drop_their_broadcasts(spark, monkeypatch):
+    """Relations of joins that have run don't pile up in the executors, and the plan can still be run."""
+    seen, find = [], common.broadcasts_of
+    monkeypatch.setattr(common, "broadcasts_of", lambda df: seen.extend(found := find(df)) or found)
+    few = spark.createDataFrame([(k, f"x{k}") for k in range(10)], "k long, name string")
+    rows = spark.range(1000).withColumn("k", F.col("id") % 10).join(F.broadcast(few), "k").groupBy("name").count().join(F.broadcast(few), "name")
+    for adaptive in ("true", "false"):
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        try:
+            out = common.checkpointed(rows)
+            assert len(seen) == 2 and not any(b.isValid() for b in seen)
+            assert sorted(out.collect()) == sorted(rows.collect()) and out.count() == 10
+        finally:
+            spark.conf.set("spark.sql.adaptive.enabled", "true")
+        seen.clear()
+
+
+def test_workers_give_memory_back():
+    """What a task has freed goes back to the system at its end, also between pieces that stay."""
+    anonymous = lambda: sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", open("/proc/self/smaps_rollup").read()))) / 1024  # noqa: E731, SIM115
+    pins = []
+
+    def run(batches):
+        held = []
+        for b in batches:
+            for _ in range(1000):
+                held.append(b"x" * 100_000)
+                pins.append(b"y" * 1000)
+            yield b
+
+    before = anonymous()
+    out = common.lean(run)(iter([1, 2]))
+    assert [next(out), next(out)] == [1, 2] and anonymous() > before + 150
+    assert list(out) == [] and anonymous() < before + 50
